@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from procura.llm.common import connected_components, cut, small_batches, table, utf8
 
@@ -169,11 +170,187 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# --- texts of similar shingles ---------------------------------------------------------------------------------------
+#: Two or fewer bits of one 64-bit fingerprint are next to equal texts.  Texts that share four fifths of their five-word
+#: shingles differ in about one bit of fifteen of a fingerprint of their distinct words, so that among many segments
+#: some pair has a whole one beside one of two errors at most.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE_SEGMENTS, WIDE = 24, 21  # of 512 bits
+SEEDS = 8
+FAR_BITS = 112  # of 512: beyond that, words are too different for a verification to succeed
+IN_BLOCK, ANCHORS, NEAREST = 384, 64, 3
+
+
+def word_print(text: bytes, memo: dict[bytes, bytes]) -> bytes:
+    """512-bit fingerprint of the distinct lower-cased words."""
+    words = set(text.lower().split())
+    if len(memo) > 200_000:
+        memo.clear()
+    some = []
+    for w in words:
+        d = memo.get(w)
+        if d is None:
+            d = memo[w] = b"".join([xxhash.xxh64_digest(w, s) for s in range(SEEDS)])
+        some.append(d)
+    counts = np.zeros(64 * SEEDS, np.int64)
+    for at in range(0, len(some), BLOCK):
+        block = np.frombuffer(b"".join(some[at : at + BLOCK]), np.uint8).reshape(-1, 8 * SEEDS)
+        counts += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(some)).tobytes()
+
+
+def _word_prints(batches):
+    memo: dict[bytes, bytes] = {}
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        key = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+        wide = pa.array([word_print(t, memo) for t in texts], pa.binary())
+        narrow = pa.array([simhash(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.int64()), narrow, wide], ["doc_id", "key", "fp", "wide"])
+
+
+def wide_keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(bucket, row)`` of ``(n, 64)`` bytes: a segment whole with a codeword index of the next, for each segment."""
+    n = len(wide)
+    bits = np.unpackbits(wide, axis=1)[:, : WIDE_SEGMENTS * WIDE].reshape(n, WIDE_SEGMENTS, WIDE)
+    part = bits.astype(np.int64) @ (1 << np.arange(WIDE))
+    near = np.sort(codeword_indices(np.roll(part, -1, axis=1).ravel()), axis=1)
+    first = np.concatenate((np.ones((len(near), 1), bool), near[:, 1:] != near[:, :-1]), axis=1)
+    at, col = np.nonzero(first)
+    seg = at % WIDE_SEGMENTS
+    return (seg << 34) | (part.ravel()[at] << 12) | near[at, col], at // WIDE_SEGMENTS
+
+
+def _wide_keys(batches):
+    for b in batches:
+        if not b.num_rows:
+            continue
+        wide = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * SEEDS)
+        bucket, row = wide_keys(wide)
+        key = b.column(0).to_numpy(zero_copy_only=False)[row]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key, pa.int64())], ["bucket", "key"])
+
+
+def _distances(wide: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(wide), np.uint64).reshape(len(wide), SEEDS)
+    out = np.zeros((len(wide), len(wide)), np.uint16)
+    for s in range(SEEDS):
+        out += np.bitwise_count(x[:, s][:, None] ^ x[:, s][None, :])
+    return out
+
+
+def _near_in_block(batches):
+    """Of each member of a block its nearest others, and its nearest anchor, within ``FAR_BITS``."""
+    for b in batches:
+        pairs: set[tuple[int, int]] = set()
+        for members in b.column(0).to_pylist():
+            own = {m["key"]: (m["wide"], m["anchor"]) for m in members}
+            keys = sorted(own)
+            d = _distances([own[k][0] for k in keys])
+            np.fill_diagonal(d, 10_000)
+            anchors = np.array([own[k][1] for k in keys])
+            for i in range(len(keys)):
+                near = np.argsort(d[i], kind="stable")[:NEAREST].tolist()
+                if anchors.any():
+                    near.append(int(np.where(anchors, d[i], 20_000).argmin()))
+                pairs |= {(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in near if d[i, j] <= FAR_BITS}
+        rows = list(zip(*pairs)) if pairs else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
+
+
+def shingles(text: bytes, k: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of the whole text."""
+    words = text.lower().split()
+    if len(words) <= k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64).view(np.int64)
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)], np.uint64)
+    return np.unique(h).view(np.int64)
+
+
+def _shingled(batches):
+    for b in batches:
+        h = [shingles(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["key", "h"])
+
+
+def _similar(batches):
+    for b in batches:
+        good = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            both = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
+            good.append(bool(x or y) and both >= SIMILARITY * (len(x) + len(y) - both))
+        yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+
+def candidate_pairs(wide: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of keys of ``(key, wide)`` that share a bucket and differ in ``FAR_BITS`` bits at most.
+
+    Buckets of up to ``PAIRED`` are paired.  Members of larger ones are dealt to blocks by their hash, the same blocks
+    in each bucket, and meet the bucket's ``ANCHORS`` smallest members there: pairs are each member's nearest ones, so
+    that they grow with the members and no group is ever held by one task.
+    """
+    keys = cut(wide.mapInArrow(_wide_keys, "bucket long, key long"), "wide-keys")
+    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = keys.join(sizes, "bucket")
+    few = shared.where(F.col("n") <= PAIRED).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("m"))
+    pairs = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b").distinct()
+    w = wide.alias("w")
+    x = pairs.join(w.select(F.col("key").alias("a"), F.col("wide").alias("wa")), "a").join(w.select(F.col("key").alias("b"), F.col("wide").alias("wb")), "b")
+    word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long")
+    apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(16)), F.lit(0))
+    x = x.where(apart <= FAR_BITS).select("a", "b")
+
+    crowded = shared.where(F.col("n") > PAIRED)
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / IN_BLOCK))).cast("long")
+    crowded = crowded.withColumn("blocks", F.greatest(F.lit(1), blocks))
+    nth = F.row_number().over(W.partitionBy("bucket").orderBy("key"))
+    anchors = crowded.withColumn("nth", nth).where(F.col("nth") <= ANCHORS)
+    anchors = anchors.select("bucket", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("anchor"))
+    dealt = crowded.select("bucket", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), F.lit(False).alias("anchor"))
+    members = anchors.union(dealt).groupBy("bucket", "block", "key").agg(F.bool_or("anchor").alias("anchor")).join(wide, "key")
+    held = members.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "wide", "anchor")).alias("m")).select("m")
+    return x.union(held.mapInArrow(_near_in_block, "a long, b long")).distinct()
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``(doc_id, key, group)`` of each row: groups of equal texts, of fingerprints two bits apart, and of texts with a
+    similarity of 0.8 or more, verified on all their five-word shingles; ``group`` is the smallest doc_id reachable.
+
+    Candidates come by Golay keys of a fingerprint of words; what they find is verified on whole texts, so that only
+    similar texts are joined, and most of them are (the share found is in the README).  Texts are joined by their
+    64-bit hash; null and empty texts are equal.
+    """
+    small_batches(docs.sparkSession, 256)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
+    prints = cut(texts.mapInArrow(_word_prints, "doc_id long, key long, fp long, wide binary"), "word-prints")
+    classes = cut(
+        prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "text-classes"
+    )
+    pairs = cut(candidate_pairs(classes.select("key", "wide")), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "id"), "key").alias("n")
+    t = texts.withColumn("key", F.xxhash64("text")).alias("t")
+    on = (F.col("t.key") == F.col("n.key")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
+    sets = t.join(needed, on).select("t.key", "text").mapInArrow(_shingled, "key long, h array<long>").dropDuplicates(["key"])
+    sets = cut(sets, "shingles")
+    a, b = sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
+    similar = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
+    # Fingerprints two bits apart join their classes by the class of the smallest key.
+    narrow = classes.groupBy("fp").agg(F.min("key").alias("first"))
+    same = classes.join(narrow, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    close = links(narrow.select("fp")).alias("l")
+    f, g = narrow.alias("f"), narrow.alias("g")
+    close = close.join(f, F.col("l.a") == F.col("f.fp")).join(g, F.col("l.b") == F.col("g.fp")).select(F.col("f.first").alias("a"), F.col("g.first").alias("b"))
+    roots = connected_components(similar.union(same).union(close)).withColumnRenamed("node", "key")
+    rooted = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lowest = rooted.groupBy("root").agg(F.min("id").alias("group"))
+    return prints.select("doc_id", "key").join(rooted.join(lowest, "root").select("key", "group"), "key")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id; where rows share that id, one of each text."""
-    prints = cut(fingerprints(docs), "prints")
-    stay = prints.join(components(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select("doc_id").distinct()
-    d, s = docs.alias("d"), stay.alias("s")
-    kept = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
+    stay = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("group"))).select("doc_id", "key").distinct().alias("s")
+    d = docs.withColumn("key", F.xxhash64(utf8(F.col("text")))).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.key") == F.col("s.key"))
+    kept = d.join(stay, on, "left_semi").select("d.doc_id", "d.text", "d.lang", "d.source", "d.n_chars")
     return kept.dropDuplicates(["doc_id", "text"])

@@ -127,11 +127,82 @@ def test_golay_code_is_perfect_and_words_two_apart_meet():
     assert max(len(set(p)) for p in a.tolist()) == 6
 
 
+def similar_pairs(texts):
+    """Pairs of different texts that share four fifths of their five-word shingles."""
+    sets = {}
+    for d, t in texts:
+        w = [x.lower() for x in words_of(t)]
+        sets.setdefault(t or "", (d, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+    items = list(sets.values())
+    where = defaultdict(list)
+    for i, (_, s) in enumerate(items):
+        for g in s:
+            where[g].append(i)
+    both = Counter((i, j) for x in where.values() for n, j in enumerate(x) for i in x[:n])
+    return [(items[i][0], items[j][0]) for (i, j), n in both.items() if n >= 0.8 * (len(items[i][1]) + len(items[j][1]) - n)]
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark, docs, sf_dir):
-    found = rows_of(simhash.near_duplicates(docs))
+    found = simhash.groups(docs).collect()
     kept = rows_of(simhash.stage(spark, docs, sf_dir).select("doc_id", "text"))
-    assert {d for d, _ in kept} == {c for _, _, c in found}
-    assert len(kept) == len(set(kept))
+    assert {d for d, _ in kept} == {r.group for r in found} and len(kept) == len(set(kept))
+    low = {}
+    for d, _, c in rows_of(simhash.near_duplicates(docs)):
+        low.setdefault(c, set()).add(d)
+    group = {r.doc_id: r.group for r in found}
+    assert all(len({group[d] for d in ds if d is not None}) <= 1 for ds in low.values())
+    assert group[2] == group[0]  # one word of a hundred changed
+
+
+@pytest.mark.parametrize("paired", [4, 24])
+def test_near_copies_are_found_and_verified(spark, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    r = random.Random(9)
+    say = lambda n: [r.choice("abcdefgh") + str(r.randrange(400)) for _ in range(n)]
+    texts = []
+    for g in range(12):
+        base = say(r.randrange(60, 300))
+        texts.append(" ".join(base))
+        for _ in range(8 if g else 60):
+            t = list(base)
+            for _ in range(max(1, len(t) // 80)):
+                t[r.randrange(len(t))] = "changed"
+            texts.append(" ".join(t))
+    texts += [" ".join(say(80)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    group = {x.doc_id: x.group for x in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = similar_pairs(rows)
+    missed = [p for p in want if group[p[0]] != group[p[1]]]
+    assert len(want) > 300 and len(missed) <= 0.02 * len(want)
+    prints, first = [brute_print(t) for t in texts], {}
+    equal = [(first.setdefault(t, i), i) for i, t in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    root = brute_links(want + equal + close, len(rows))
+    assert all(root[d] == root[g] for d, g in group.items())  # nothing else is joined
+
+
+def brute_links(pairs, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return [find(i) for i in range(n)]
+
+
+def test_recall_of_similar_texts(spark):
+    """At least nine tenths of the similar pairs of the larger table end in one group."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    group = {r.doc_id: r.group for r in simhash.groups(df).collect()}
+    want = similar_pairs(rows)
+    hit = sum(group[a] == group[b] for a, b in want)
+    print("similar pairs", len(want), "found", hit)
+    assert len(want) > 30 and hit >= 0.9 * len(want)
 
 
 def test_components_of_chains(spark):
