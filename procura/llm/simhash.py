@@ -6,6 +6,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,13 +180,14 @@ SIMILARITY = 0.8
 WIDE_SEGMENTS, WIDE = 24, 21  # of 512 bits
 SEEDS = 8
 FAR_BITS = 112  # of 512: beyond that, words are too different for a verification to succeed
-IN_BLOCK, ANCHORS, NEAREST = 384, 64, 3
+#: Buckets of more members are not paired; a block of one is held by a task.
+PAIRED_WIDE, IN_BLOCK, ANCHORS, NEAREST = 4, 384, 64, 2
 
 
 def word_print(text: bytes, memo: dict[bytes, bytes]) -> bytes:
     """512-bit fingerprint of the distinct lower-cased words."""
     words = set(text.lower().split())
-    if len(memo) > 200_000:
+    if len(memo) > 100_000:
         memo.clear()
     some = []
     for w in words:
@@ -240,21 +242,35 @@ def _distances(wide: list[bytes]) -> np.ndarray:
     return out
 
 
+def _tree(d: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a least spanning forest of distances ``d``, without those over ``FAR_BITS``."""
+    n = len(d)
+    best, parent, out = d[0].copy(), np.zeros(n, np.int64), []
+    left = np.ones(n, bool)
+    left[0] = False
+    for _ in range(n - 1):
+        j = int(np.where(left, best, 30_000).argmin())
+        left[j] = False
+        if best[j] <= FAR_BITS:
+            out.append((int(parent[j]), j))
+        closer = left & (d[j] < best)
+        best[closer], parent[closer] = d[j][closer], j
+    return out
+
+
 def _near_in_block(batches):
-    """Of each member of a block its nearest others, and its nearest anchor, within ``FAR_BITS``."""
+    """A least spanning forest of each block, and of each member its ``NEAREST`` others, within ``FAR_BITS``."""
     for b in batches:
         pairs: set[tuple[int, int]] = set()
         for members in b.column(0).to_pylist():
-            own = {m["key"]: (m["wide"], m["anchor"]) for m in members}
+            own = {m["key"]: m["wide"] for m in members}
             keys = sorted(own)
-            d = _distances([own[k][0] for k in keys])
+            d = _distances([own[k] for k in keys])
             np.fill_diagonal(d, 10_000)
-            anchors = np.array([own[k][1] for k in keys])
+            found = _tree(d)
             for i in range(len(keys)):
-                near = np.argsort(d[i], kind="stable")[:NEAREST].tolist()
-                if anchors.any():
-                    near.append(int(np.where(anchors, d[i], 20_000).argmin()))
-                pairs |= {(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in near if d[i, j] <= FAR_BITS}
+                found += [(i, j) for j in np.argsort(d[i], kind="stable")[:NEAREST].tolist() if d[i, j] <= FAR_BITS]
+            pairs |= {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found}
         rows = list(zip(*pairs)) if pairs else [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
 
@@ -277,23 +293,27 @@ def _shingled(batches):
 def _similar(batches):
     for b in batches:
         good = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            both = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
-            good.append(bool(x or y) and both >= SIMILARITY * (len(x) + len(y) - both))
+        x, y = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+        ends = [np.concatenate(([0], np.cumsum(pc.list_value_length(b.column(i)).to_numpy(zero_copy_only=False)))) for i in (2, 3)]
+        for i in range(b.num_rows):
+            u, v = x[ends[0][i] : ends[0][i + 1]], y[ends[1][i] : ends[1][i + 1]]
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            good.append(len(u) + len(v) > 0 and both >= SIMILARITY * (len(u) + len(v) - both))
         yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
 def candidate_pairs(wide: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of keys of ``(key, wide)`` that share a bucket and differ in ``FAR_BITS`` bits at most.
 
-    Buckets of up to ``PAIRED`` are paired.  Members of larger ones are dealt to blocks by their hash, the same blocks
-    in each bucket, and meet the bucket's ``ANCHORS`` smallest members there: pairs are each member's nearest ones, so
-    that they grow with the members and no group is ever held by one task.
+    Buckets of up to ``PAIRED_WIDE`` are paired.  Members of larger ones of one whole segment are pooled and dealt to
+    blocks by their hash, the same blocks in each pool, and meet the pool's ``ANCHORS`` smallest members there; pairs are the edges of a block's
+    least spanning forest and each member's nearest, so that they grow with the members and no group is ever held by
+    one task.
     """
-    keys = cut(wide.mapInArrow(_wide_keys, "bucket long, key long"), "wide-keys")
+    keys = wide.mapInArrow(_wide_keys, "bucket long, key long")
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keys.join(sizes, "bucket")
-    few = shared.where(F.col("n") <= PAIRED).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("m"))
+    shared = cut(keys.join(sizes, "bucket"), "shared-buckets")
+    few = shared.where(F.col("n") <= PAIRED_WIDE).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("m"))
     pairs = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b").distinct()
     w = wide.alias("w")
     x = pairs.join(w.select(F.col("key").alias("a"), F.col("wide").alias("wa")), "a").join(w.select(F.col("key").alias("b"), F.col("wide").alias("wb")), "b")
@@ -301,15 +321,20 @@ def candidate_pairs(wide: DataFrame) -> DataFrame:
     apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(16)), F.lit(0))
     x = x.where(apart <= FAR_BITS).select("a", "b")
 
-    crowded = shared.where(F.col("n") > PAIRED)
+    # Near copies meet under most codeword indices of a segment: crowded buckets of one whole segment become one pool,
+    # in which a member stands once.  A pool has all pairs of its buckets.
+    crowded = shared.where(F.col("n") > PAIRED_WIDE).select(F.shiftright("bucket", 12).alias("pool"), "key").distinct()
+    crowded = crowded.join(crowded.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "pool")
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / IN_BLOCK))).cast("long")
     crowded = crowded.withColumn("blocks", F.greatest(F.lit(1), blocks))
-    nth = F.row_number().over(W.partitionBy("bucket").orderBy("key"))
-    anchors = crowded.withColumn("nth", nth).where(F.col("nth") <= ANCHORS)
-    anchors = anchors.select("bucket", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("anchor"))
-    dealt = crowded.select("bucket", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), F.lit(False).alias("anchor"))
-    members = anchors.union(dealt).groupBy("bucket", "block", "key").agg(F.bool_or("anchor").alias("anchor")).join(wide, "key")
-    held = members.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "wide", "anchor")).alias("m")).select("m")
+    nth = F.row_number().over(W.partitionBy("pool").orderBy("key"))
+    anchors = crowded.where("blocks > 1").withColumn("nth", nth).where(F.col("nth") <= ANCHORS)
+    anchors = anchors.select("pool", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = crowded.select("pool", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"))
+    # A set of members that several pools have is compared once.
+    sets = anchors.union(dealt).groupBy("pool", "block").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("keys").distinct()
+    members = sets.select(F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).join(wide, "key")
+    held = members.groupBy("set").agg(F.collect_list(F.struct("key", "wide")).alias("m")).select("m")
     return x.union(held.mapInArrow(_near_in_block, "a long, b long")).distinct()
 
 
@@ -349,8 +374,9 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id; where rows share that id, one of each text."""
-    stay = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("group"))).select("doc_id", "key").distinct().alias("s")
-    d = docs.withColumn("key", F.xxhash64(utf8(F.col("text")))).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.key") == F.col("s.key"))
-    kept = d.join(stay, on, "left_semi").select("d.doc_id", "d.text", "d.lang", "d.source", "d.n_chars")
-    return kept.dropDuplicates(["doc_id", "text"])
+    stay = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("group")))
+    # Null ids are marked apart, so that the join and the removal of repeated rows share one exchange of the texts.
+    row = {"id0": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64(utf8(F.col("text"))).alias("key")).withColumns(row)
+    kept = d.join(stay.withColumns(row).select(*row, "key").distinct(), [*row, "key"], "left_semi")
+    return kept.dropDuplicates([*row, "key"]).select("doc_id", "text", "lang", "source", "n_chars")

@@ -156,7 +156,8 @@ def test_simhash_stage_keeps_one_of_each_group(spark, docs, sf_dir):
 
 @pytest.mark.parametrize("paired", [4, 24])
 def test_near_copies_are_found_and_verified(spark, monkeypatch, paired):
-    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "PAIRED_WIDE", paired)
+    monkeypatch.setattr(simhash, "IN_BLOCK", 16)
     r = random.Random(9)
     say = lambda n: [r.choice("abcdefgh") + str(r.randrange(400)) for _ in range(n)]
     texts = []
