@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from procura.functions.dates import days_until
-from procura.functions.text import display, normalize_text
+from procura.functions.text import display, let, normalize_text
 
 
 @dataclass(frozen=True)
@@ -33,11 +33,13 @@ def tolerant(condition: Column, *needed: Column) -> Column:
 
 def keyword_match(keywords: tuple[str, ...], *texts: Column) -> Column:
     """Any normalised keyword is part of the normalised texts; no text matches no keyword, an empty keyword any."""
-    haystack = normalize_text(F.concat_ws(" ", *texts))
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | F.contains(haystack, normalize_text(F.lit(k)))
-    return (haystack != "") & hit
+    def found(haystack: Column) -> Column:
+        hit = F.lit(False)
+        for k in keywords:
+            hit = hit | F.contains(haystack, normalize_text(F.lit(k)))
+        return (haystack != "") & hit
+
+    return let(normalize_text(F.concat_ws(" ", *texts)), found)
 
 
 def code_match(wanted: tuple[str, ...], codes: Column) -> Column:
