@@ -181,7 +181,12 @@ WIDE_SEGMENTS, WIDE = 24, 21  # of 512 bits
 SEEDS = 8
 FAR_BITS = 112  # of 512: beyond that, words are too different for a verification to succeed
 #: Buckets of more members are not paired; a block of one is held by a task.
-PAIRED_WIDE, IN_BLOCK, ANCHORS, NEAREST = 4, 384, 64, 2
+PAIRED_WIDE, IN_BLOCK, ANCHORS = 4, 384, 64
+#: Crowded buckets of one whole segment are pooled up to this many members; beyond, each is a pool of its own.
+POOLED = 4096
+#: Smallest shingle hashes kept of a text, and the share of them that texts under verification have in common at least: a
+#: similarity of 0.8 leaves four fifths on average, four deviations above.
+SKETCH, SKETCH_SHARE = 96, 0.625
 
 
 def word_print(text: bytes, memo: dict[bytes, bytes]) -> bytes:
@@ -259,7 +264,7 @@ def _tree(d: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _near_in_block(batches):
-    """A least spanning forest of each block, and of each member its ``NEAREST`` others, within ``FAR_BITS``."""
+    """A least spanning forest of each block, within ``FAR_BITS``."""
     for b in batches:
         pairs: set[tuple[int, int]] = set()
         for members in b.column(0).to_pylist():
@@ -267,10 +272,31 @@ def _near_in_block(batches):
             keys = sorted(own)
             d = _distances([own[k] for k in keys])
             np.fill_diagonal(d, 10_000)
-            found = _tree(d)
-            for i in range(len(keys)):
-                found += [(i, j) for j in np.argsort(d[i], kind="stable")[:NEAREST].tolist() if d[i, j] <= FAR_BITS]
-            pairs |= {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found}
+            pairs |= {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in _tree(d)}
+        rows = list(zip(*pairs)) if pairs else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
+
+
+def _apart_in_block(batches):
+    """Of each block, the pairs of a minor member and any other of another root that may be similar."""
+    for b in batches:
+        pairs: set[tuple[int, int]] = set()
+        for members in b.column(0).to_pylist():
+            own = sorted({m["key"]: (m["key"], m["root"], m["minor"], m["wide"], m["sketch"]) for m in members}.values())
+            root = np.array([m[1] for m in own])
+            minor = np.flatnonzero([m[2] for m in own])
+            near = (_distances([m[3] for m in own])[minor] <= FAR_BITS) & (root[minor][:, None] != root[None, :])
+            if not near.any():
+                continue
+            size = np.array([len(m[4]) for m in own])
+            values, column, count = np.unique(np.concatenate([m[4] for m in own]), return_inverse=True, return_counts=True)
+            # Hashes of one member only are common to none.
+            number = np.cumsum(count > 1) - 1
+            row, kept = np.repeat(np.arange(len(own)), size), count[column] > 1
+            has = np.zeros((len(own), int((count > 1).sum())), np.float32)
+            has[row[kept], number[column[kept]]] = 1
+            near &= has[minor] @ has.T >= SKETCH_SHARE * np.maximum(size[minor][:, None], size[None, :])
+            pairs |= {tuple(sorted((own[minor[i]][0], own[j][0]))) for i, j in zip(*np.nonzero(near))}
         rows = list(zip(*pairs)) if pairs else [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
 
@@ -302,29 +328,39 @@ def _similar(batches):
         yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def candidate_pairs(wide: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of keys of ``(key, wide)`` that share a bucket and differ in ``FAR_BITS`` bits at most.
+def buckets(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``(key, wide)``: pairs ``(a, b)`` of buckets of up to ``PAIRED_WIDE``, and ``(pool, key)`` of larger ones.
 
-    Buckets of up to ``PAIRED_WIDE`` are paired.  Members of larger ones of one whole segment are pooled and dealt to
-    blocks by their hash, the same blocks in each pool, and meet the pool's ``ANCHORS`` smallest members there; pairs are the edges of a block's
-    least spanning forest and each member's nearest, so that they grow with the members and no group is ever held by
-    one task.
+    Near copies meet under most codeword indices of a segment: crowded buckets of one whole segment become one pool,
+    in which a member stands once, unless it has over ``POOLED``.  A pool has all pairs of its buckets.
     """
     keys = wide.mapInArrow(_wide_keys, "bucket long, key long")
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(keys.join(sizes, "bucket"), "shared-buckets")
     few = shared.where(F.col("n") <= PAIRED_WIDE).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("m"))
     pairs = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b").distinct()
+    crowded = shared.where(F.col("n") > PAIRED_WIDE).select(F.shiftright("bucket", 12).alias("pool"), "bucket", "key")
+    pooled = crowded.select("pool", "key").distinct()
+    sizes = pooled.groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
+    small = pooled.join(sizes.where(F.col("n") <= POOLED), "pool").select("pool", "key")
+    own = F.col("bucket").bitwiseOR(F.lit(1 << 62)).alias("pool")
+    large = crowded.join(sizes.where(F.col("n") > POOLED), "pool").select(own, "key")
+    return pairs, cut(small.union(large), "pools")
+
+
+def first_pairs(wide: DataFrame, pairs: DataFrame, pools: DataFrame) -> DataFrame:
+    """``(a, b)`` to verify first: ``pairs`` within ``FAR_BITS``, and spanning forests of the blocks of ``pools``.
+
+    Members are dealt to blocks by their hash, the same blocks in each pool, and meet the pool's ``ANCHORS`` smallest
+    members there.  What forests leave out is up to ``pairs_apart``.
+    """
     w = wide.alias("w")
     x = pairs.join(w.select(F.col("key").alias("a"), F.col("wide").alias("wa")), "a").join(w.select(F.col("key").alias("b"), F.col("wide").alias("wb")), "b")
     word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long")
     apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(16)), F.lit(0))
     x = x.where(apart <= FAR_BITS).select("a", "b")
 
-    # Near copies meet under most codeword indices of a segment: crowded buckets of one whole segment become one pool,
-    # in which a member stands once.  A pool has all pairs of its buckets.
-    crowded = shared.where(F.col("n") > PAIRED_WIDE).select(F.shiftright("bucket", 12).alias("pool"), "key").distinct()
-    crowded = crowded.join(crowded.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "pool")
+    crowded = pools.join(pools.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "pool")
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / IN_BLOCK))).cast("long")
     crowded = crowded.withColumn("blocks", F.greatest(F.lit(1), blocks))
     nth = F.row_number().over(W.partitionBy("pool").orderBy("key"))
@@ -338,12 +374,38 @@ def candidate_pairs(wide: DataFrame) -> DataFrame:
     return x.union(held.mapInArrow(_near_in_block, "a long, b long")).distinct()
 
 
+def pairs_apart(pools: DataFrame, roots: DataFrame, wide: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of one pool with different roots that may be similar by fingerprint and sketch.
+
+    One root of a pool has most members; of any two with different roots, one is outside it, a minor.  Minors in chunks
+    meet all members in parts, each of ``IN_BLOCK`` about, so that every pair meets once, no group is held by one task,
+    and rows grow with the members and with those that the first pairs left apart, not with copies.
+    """
+    m = pools.join(roots.select("key", "root"), "key")
+    of = m.groupBy("pool", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("pool")
+    of = of.agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main")).where("n > main.c")
+    m = m.join(of, "pool").withColumn("minor", F.col("root") != F.col("main.root"))
+    parts, chunks = F.ceil(F.col("n") / IN_BLOCK), F.ceil((F.col("n") - F.col("main.c")) / IN_BLOCK)
+    every = m.withColumn("minor", F.lit(False)).select(
+        "pool", "key", "root", "minor", F.pmod(F.xxhash64("key"), parts).alias("part"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
+    )
+    minors = m.where("minor").select(
+        "pool", "key", "root", "minor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.pmod(F.xxhash64("key", F.lit(1)), chunks).alias("chunk")
+    )
+    # A minor that stands among its own part's members too is one row, and a minor.
+    dealt = every.union(minors).groupBy("pool", "part", "chunk", "key", "root").agg(F.max("minor").alias("minor"))
+    one = F.struct("key", "root", "minor", "wide", "sketch")
+    held = dealt.join(wide, "key").join(sketches, "key").groupBy("pool", "part", "chunk").agg(F.collect_list(one).alias("m"))
+    return held.select("m").mapInArrow(_apart_in_block, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, key, group)`` of each row: groups of equal texts, of fingerprints two bits apart, and of texts with a
     similarity of 0.8 or more, verified on all their five-word shingles; ``group`` is the smallest doc_id reachable.
 
     Candidates come by Golay keys of a fingerprint of words; what they find is verified on whole texts, so that only
-    similar texts are joined, and most of them are (the share found is in the README).  Texts are joined by their
+    similar texts are joined, and most of them are (the share found is in the README).  Spanning forests of crowded
+    buckets are verified first; then all pairs of a bucket that are not joined by then.  Texts are joined by their
     64-bit hash; null and empty texts are equal.
     """
     small_batches(docs.sparkSession, 256)
@@ -352,22 +414,35 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = cut(
         prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "text-classes"
     )
-    pairs = cut(candidate_pairs(classes.select("key", "wide")), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "id"), "key").alias("n")
+    wide = classes.select("key", "wide")
+    few, pools = buckets(wide)
+    pairs = cut(first_pairs(wide, few, pools), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(pools.select("key")).distinct().join(classes.select("key", "id"), "key").alias("n")
     t = texts.withColumn("key", F.xxhash64("text")).alias("t")
     on = (F.col("t.key") == F.col("n.key")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
     sets = t.join(needed, on).select("t.key", "text").mapInArrow(_shingled, "key long, h array<long>").dropDuplicates(["key"])
     sets = cut(sets, "shingles")
     a, b = sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
-    similar = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
+
+    def verified(some: DataFrame) -> DataFrame:
+        return some.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
+
     # Fingerprints two bits apart join their classes by the class of the smallest key.
     narrow = classes.groupBy("fp").agg(F.min("key").alias("first"))
     same = classes.join(narrow, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
     close = links(narrow.select("fp")).alias("l")
     f, g = narrow.alias("f"), narrow.alias("g")
     close = close.join(f, F.col("l.a") == F.col("f.fp")).join(g, F.col("l.b") == F.col("g.fp")).select(F.col("f.first").alias("a"), F.col("g.first").alias("b"))
-    roots = connected_components(similar.union(same).union(close)).withColumnRenamed("node", "key")
+    roots = connected_components(verified(pairs).union(same).union(close)).withColumnRenamed("node", "key")
     rooted = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = cut(rooted, "first-roots")
+    # What the first pairs left apart, between roots.
+    sketches = sets.select("key", F.slice("h", 1, SKETCH).alias("sketch"))
+    found = verified(pairs_apart(pools, rooted, wide, sketches))
+    r = rooted.select("key", "root")
+    found = found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    last = connected_components(found).toDF("root", "last")
+    rooted = rooted.join(last, "root", "left").select("key", "id", F.coalesce("last", "root").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("id").alias("group"))
     return prints.select("doc_id", "key").join(rooted.join(lowest, "root").select("key", "group"), "key")
 

@@ -182,6 +182,34 @@ def test_near_copies_are_found_and_verified(spark, monkeypatch, paired):
     assert all(root[d] == root[g] for d, g in group.items())  # nothing else is joined
 
 
+@pytest.mark.parametrize("pooled", [8, 4096])
+def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, pooled):
+    """Copies around the threshold, in more blocks than one: each similar pair that shares a bucket is in one group."""
+    monkeypatch.setattr(simhash, "IN_BLOCK", 12)
+    monkeypatch.setattr(simhash, "ANCHORS", 1)
+    monkeypatch.setattr(simhash, "POOLED", pooled)
+    r = random.Random(11)
+    say = lambda n: [r.choice("abcdefgh") + str(r.randrange(400)) for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        base = say(150)
+        for _ in range(70):
+            t = list(base)
+            for _ in range(r.randrange(2, 7)):
+                t[r.randrange(len(t))] = "changed" + str(r.randrange(99))
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    group = {x.doc_id: x.group for x in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = [simhash.word_print(t.encode(), {}) for t in texts]
+    bucket, row = simhash.wide_keys(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 64))
+    own = defaultdict(set)
+    for b, i in zip(bucket.tolist(), row.tolist()):
+        own[i].add(b)
+    far = lambda i, j: (int.from_bytes(prints[i]) ^ int.from_bytes(prints[j])).bit_count() > simhash.FAR_BITS
+    want = [(i, j) for i, j in similar_pairs(rows) if own[i] & own[j] and not far(i, j)]
+    assert len(want) > 500 and all(group[i] == group[j] for i, j in want)
+
+
 def brute_links(pairs, n):
     root = list(range(n))
 
