@@ -184,9 +184,10 @@ FAR_BITS = 112  # of 512: beyond that, words are too different for a verificatio
 PAIRED_WIDE, IN_BLOCK, ANCHORS = 4, 384, 64
 #: Crowded buckets of one whole segment are pooled up to this many members; beyond, each is a pool of its own.
 POOLED = 4096
-#: Smallest shingle hashes kept of a text, and the share of them that texts under verification have in common at least: a
-#: similarity of 0.8 leaves four fifths on average, four deviations above.
-SKETCH, SKETCH_SHARE = 96, 0.625
+#: Smallest shingle hashes kept of a text for a comparison before verification: all of most texts.  Where there are more, texts
+#: of a similarity of 0.8 have four fifths in common on average; the share asked for is five deviations below.
+SKETCH, SKETCH_SHARE = 512, 0.7
+COLUMNS = 1 << 13  # hashes compared at once; bounds memory
 
 
 def word_print(text: bytes, memo: dict[bytes, bytes]) -> bytes:
@@ -277,25 +278,37 @@ def _near_in_block(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
 
 
+def _common(sketches: list[bytes], some: np.ndarray) -> np.ndarray:
+    """``(len(some), n)``: hashes that ``sketches`` of ``some`` and of all have in common."""
+    row = np.repeat(np.arange(len(sketches)), [len(x) // 4 for x in sketches])
+    _, column, count = np.unique(np.frombuffer(b"".join(sketches), np.uint32), return_inverse=True, return_counts=True)
+    twice = count > 1  # hashes of one alone are common to none
+    number, row = (np.cumsum(twice) - 1)[column[twice[column]]], row[twice[column]]
+    out = np.zeros((len(some), len(sketches)), np.float32)
+    for low in range(0, int(twice.sum()), COLUMNS):
+        here = (number >= low) & (number < low + COLUMNS)
+        has = np.zeros((len(sketches), COLUMNS), np.float32)
+        has[row[here], number[here] - low] = 1
+        out += has[some] @ has.T
+    return out
+
+
 def _apart_in_block(batches):
     """Of each block, the pairs of a minor member and any other of another root that may be similar."""
     for b in batches:
         pairs: set[tuple[int, int]] = set()
-        for members in b.column(0).to_pylist():
-            own = sorted({m["key"]: (m["key"], m["root"], m["minor"], m["wide"], m["sketch"]) for m in members}.values())
+        for block in b.column(0):  # one at a time: a batch has many
+            own = sorted((m["key"], m["root"], m["minor"], m["wide"], m["sketch"]) for m in block.as_py())
             root = np.array([m[1] for m in own])
             minor = np.flatnonzero([m[2] for m in own])
             near = (_distances([m[3] for m in own])[minor] <= FAR_BITS) & (root[minor][:, None] != root[None, :])
             if not near.any():
                 continue
-            size = np.array([len(m[4]) for m in own])
-            values, column, count = np.unique(np.concatenate([m[4] for m in own]), return_inverse=True, return_counts=True)
-            # Hashes of one member only are common to none.
-            number = np.cumsum(count > 1) - 1
-            row, kept = np.repeat(np.arange(len(own)), size), count[column] > 1
-            has = np.zeros((len(own), int((count > 1).sum())), np.float32)
-            has[row[kept], number[column[kept]]] = 1
-            near &= has[minor] @ has.T >= SKETCH_SHARE * np.maximum(size[minor][:, None], size[None, :])
+            size = np.array([len(m[4]) // 4 for m in own])
+            x, y, common = size[minor][:, None], size[None, :], _common([m[4] for m in own], minor)
+            # Hashes are cut to 32 bits: one may meet another of its text.
+            whole = common + 1 >= SIMILARITY * (x + y - common - 1)
+            near &= np.where((x < SKETCH) & (y < SKETCH), whole, common >= SKETCH_SHARE * np.maximum(x, y))
             pairs |= {tuple(sorted((own[minor[i]][0], own[j][0]))) for i, j in zip(*np.nonzero(near))}
         rows = list(zip(*pairs)) if pairs else [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
@@ -313,7 +326,8 @@ def shingles(text: bytes, k: int = SIMILAR_SHINGLE) -> np.ndarray:
 def _shingled(batches):
     for b in batches:
         h = [shingles(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["key", "h"])
+        sketch = pa.array([(x[:SKETCH] & 0xFFFFFFFF).astype(np.uint32).tobytes() for x in h], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64())), sketch], ["key", "h", "sketch"])
 
 
 def _similar(batches):
@@ -420,7 +434,7 @@ def groups(docs: DataFrame) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(pools.select("key")).distinct().join(classes.select("key", "id"), "key").alias("n")
     t = texts.withColumn("key", F.xxhash64("text")).alias("t")
     on = (F.col("t.key") == F.col("n.key")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
-    sets = t.join(needed, on).select("t.key", "text").mapInArrow(_shingled, "key long, h array<long>").dropDuplicates(["key"])
+    sets = t.join(needed, on).select("t.key", "text").mapInArrow(_shingled, "key long, h array<long>, sketch binary").dropDuplicates(["key"])
     sets = cut(sets, "shingles")
     a, b = sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
 
@@ -437,8 +451,7 @@ def groups(docs: DataFrame) -> DataFrame:
     rooted = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = cut(rooted, "first-roots")
     # What the first pairs left apart, between roots.
-    sketches = sets.select("key", F.slice("h", 1, SKETCH).alias("sketch"))
-    found = verified(pairs_apart(pools, rooted, wide, sketches))
+    found = verified(pairs_apart(pools, rooted, wide, sets.select("key", "sketch")))
     r = rooted.select("key", "root")
     found = found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     last = connected_components(found).toDF("root", "last")

@@ -195,7 +195,7 @@ def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, pooled):
         base = say(150)
         for _ in range(70):
             t = list(base)
-            for _ in range(r.randrange(2, 7)):
+            for _ in range(r.randrange(1, 4)):
                 t[r.randrange(len(t))] = "changed" + str(r.randrange(99))
             texts.append(" ".join(t))
     rows = list(enumerate(texts))
