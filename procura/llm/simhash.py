@@ -325,9 +325,10 @@ def shingles(text: bytes, k: int = SIMILAR_SHINGLE) -> np.ndarray:
 
 def _shingled(batches):
     for b in batches:
-        h = [shingles(t) for t in b.column(1).to_pylist()]
+        h = [shingles(t) for t in b.column(2).to_pylist()]
         sketch = pa.array([(x[:SKETCH] & 0xFFFFFFFF).astype(np.uint32).tobytes() for x in h], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64())), sketch], ["key", "h", "sketch"])
+        columns = [b.column(0), b.column(1), pa.array(h, pa.list_(pa.int64())), sketch]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "wide", "h", "sketch"])
 
 
 def _similar(batches):
@@ -388,14 +389,16 @@ def first_pairs(wide: DataFrame, pairs: DataFrame, pools: DataFrame) -> DataFram
     return x.union(held.mapInArrow(_near_in_block, "a long, b long")).distinct()
 
 
-def pairs_apart(pools: DataFrame, roots: DataFrame, wide: DataFrame, sketches: DataFrame) -> DataFrame:
+def pairs_apart(pools: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs ``(a, b)`` of one pool with different roots that may be similar by fingerprint and sketch.
 
+    ``roots`` has ``(key, root)``, ``sketches`` has ``(key, wide, sketch)``; each has every member of a pool once.
     One root of a pool has most members; of any two with different roots, one is outside it, a minor.  Minors in chunks
     meet all members in parts, each of ``IN_BLOCK`` about, so that every pair meets once, no group is held by one task,
     and rows grow with the members and with those that the first pairs left apart, not with copies.
     """
-    m = pools.join(roots.select("key", "root"), "key")
+    # Read three times below, so that the join is made once.
+    m = cut(pools.join(roots.select("key", "root"), "key"), "rooted-pools")
     of = m.groupBy("pool", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("pool")
     of = of.agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main")).where("n > main.c")
     m = m.join(of, "pool").withColumn("minor", F.col("root") != F.col("main.root"))
@@ -409,7 +412,7 @@ def pairs_apart(pools: DataFrame, roots: DataFrame, wide: DataFrame, sketches: D
     # A minor that stands among its own part's members too is one row, and a minor.
     dealt = every.union(minors).groupBy("pool", "part", "chunk", "key", "root").agg(F.max("minor").alias("minor"))
     one = F.struct("key", "root", "minor", "wide", "sketch")
-    held = dealt.join(wide, "key").join(sketches, "key").groupBy("pool", "part", "chunk").agg(F.collect_list(one).alias("m"))
+    held = dealt.join(sketches, "key").groupBy("pool", "part", "chunk").agg(F.collect_list(one).alias("m"))
     return held.select("m").mapInArrow(_apart_in_block, "a long, b long").distinct()
 
 
@@ -431,11 +434,13 @@ def groups(docs: DataFrame) -> DataFrame:
     wide = classes.select("key", "wide")
     few, pools = buckets(wide)
     pairs = cut(first_pairs(wide, few, pools), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(pools.select("key")).distinct().join(classes.select("key", "id"), "key").alias("n")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(pools.select("key")).distinct()
+    needed = needed.join(classes.select("key", "id", "wide"), "key").alias("n")
     t = texts.withColumn("key", F.xxhash64("text")).alias("t")
     on = (F.col("t.key") == F.col("n.key")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
-    sets = t.join(needed, on).select("t.key", "text").mapInArrow(_shingled, "key long, h array<long>, sketch binary").dropDuplicates(["key"])
-    sets = cut(sets, "shingles")
+    sets = t.join(needed, on).select("t.key", "wide", "text")
+    sets = sets.mapInArrow(_shingled, "key long, wide binary, h array<long>, sketch binary")
+    sets = cut(sets.dropDuplicates(["key"]), "shingles")
     a, b = sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
 
     def verified(some: DataFrame) -> DataFrame:
@@ -451,7 +456,7 @@ def groups(docs: DataFrame) -> DataFrame:
     rooted = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = cut(rooted, "first-roots")
     # What the first pairs left apart, between roots.
-    found = verified(pairs_apart(pools, rooted, wide, sets.select("key", "sketch")))
+    found = verified(pairs_apart(pools, rooted, sets.select("key", "wide", "sketch")))
     r = rooted.select("key", "root")
     found = found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     last = connected_components(found).toDF("root", "last")
