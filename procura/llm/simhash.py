@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -179,7 +180,7 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE_SEGMENTS, WIDE = 24, 21  # of 512 bits
 SEEDS = 8
-FAR_BITS = 112  # of 512: beyond that, words are too different for a verification to succeed
+FAR_BITS = 112  # of 512: pairs beyond that are left to the prefix filter
 #: Buckets of more members are not paired; a block of one is held by a task.
 PAIRED_WIDE, IN_BLOCK, ANCHORS = 4, 384, 64
 #: Crowded buckets of one whole segment are pooled up to this many members; beyond, each is a pool of its own.
@@ -188,6 +189,10 @@ POOLED = 4096
 #: of a similarity of 0.8 have four fifths in common on average; the share asked for is five deviations below.
 SKETCH, SKETCH_SHARE = 512, 0.7
 COLUMNS = 1 << 13  # hashes compared at once; bounds memory
+#: Shingles that this many of a sixteenth of the texts have come last in the order of prefixes, at most ``HOT`` of them.  Any
+#: order finds every pair; this one keeps common shingles out of prefixes.
+HOT_IN_SAMPLE, SAMPLED, HOT = 3, 16, 1 << 20
+SCANNED = 1 << 16  # rows of prefixes looked at together
 
 
 def word_print(text: bytes, memo: dict[bytes, bytes]) -> bytes:
@@ -416,14 +421,162 @@ def pairs_apart(pools: DataFrame, roots: DataFrame, sketches: DataFrame) -> Data
     return held.select("m").mapInArrow(_apart_in_block, "a long, b long").distinct()
 
 
+def rolled(text: bytes, memo: dict[bytes, int], k: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the same shingles as ``shingles``, other values, from the hashes of words."""
+    words = text.lower().split()
+    if len(words) < k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    if len(memo) > 200_000:
+        memo.clear()
+    ids = []
+    for w in words:
+        x = memo.get(w)
+        if x is None:
+            x = memo[w] = xxhash.xxh64_intdigest(w)
+        ids.append(x)
+    t, m = np.array(ids, np.uint64), len(words) - k + 1
+    roll = np.zeros(m, np.uint64)
+    for j in range(k):
+        roll = roll * np.uint64(0x9E3779B97F4A7C15) + t[j : j + m]
+    roll = (roll ^ (roll >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(roll ^ (roll >> np.uint64(27)))
+
+
+def _rolled(batches):
+    memo: dict[bytes, int] = {}
+    for b in batches:
+        h = [rolled(t, memo) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64) if h else [], pa.int64())], ["h"])
+
+
+def _prefixes(held):
+    """Of each text its first shingles in the order of ``held`` (hot hashes, their counts), as many as may all be missing
+    from a similar text and one more: similar texts have one of these in common, whatever the order."""
+
+    def run(batches):
+        hot, count = held.value
+        memo: dict[bytes, int] = {}
+        for b in batches:
+            hs, sizes = [], []
+            for t in b.column(2).to_pylist():
+                h = rolled(t, memo)
+                n = len(h)
+                if len(hot):
+                    i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    h = h[np.argsort(np.where(hot[i] == h, count[i], 0), kind="stable")]
+                h = h[: n - math.ceil(SIMILARITY * n - 1e-9) + 1] if n else h
+                hs.append(h.view(np.int64))
+                sizes.append(n)
+            cols = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(hs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "h"])
+
+    return run
+
+
+def _meetings(batches):
+    """Of rows sorted by ``h``: the members ``(key, root, at)`` of each shingle that several roots have, smaller texts first.
+
+    The first ``own`` members of a row are to meet each other and the rest.  Members over ``IN_BLOCK`` are split in
+    blocks, a row for each two that have texts of similar length.
+    """
+
+    def rows(c: np.ndarray):
+        starts = np.flatnonzero(np.concatenate(([True], c[0][1:] != c[0][:-1])))
+        low, high = np.minimum.reduceat(c[2], starts), np.maximum.reduceat(c[2], starts)
+        stops = np.append(starts[1:], c.shape[1])
+        for s, e in zip(starts[low != high].tolist(), stops[low != high].tolist()):
+            m = c[1:, s:e][:, np.argsort(c[3, s:e])]
+            if e - s <= IN_BLOCK:
+                yield e - s, m
+                continue
+            size = m[2] >> 32
+            for i in range(0, e - s, IN_BLOCK):
+                own = m[:, i : i + IN_BLOCK]
+                yield own.shape[1], own
+                for j in range(i + IN_BLOCK, e - s, IN_BLOCK):
+                    if size[i + own.shape[1] - 1] < SIMILARITY * size[j] - 1e-6:
+                        break
+                    yield own.shape[1], np.concatenate((own, m[:, j : j + IN_BLOCK]), axis=1)
+
+    def packed(c: np.ndarray):
+        some: list[tuple[int, np.ndarray]] = []
+        for own, m in rows(c):
+            some.append((own, m))
+            if len(some) == 512:
+                yield batch(some)
+                some = []
+        if some:
+            yield batch(some)
+
+    def batch(some: list) -> pa.RecordBatch:
+        at = pa.array(np.concatenate(([0], np.cumsum([m.shape[1] for _, m in some]))), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([m[i] for _, m in some]), pa.int64())) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array([o for o, _ in some], pa.int32()), *lists], ["own", "key", "root", "at"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+        n += b.num_rows
+        if n < SCANNED:
+            continue
+        c = np.concatenate(held, axis=1)
+        last = int(np.searchsorted(c[0], c[0, -1]))  # rows of the last shingle may go on
+        if last:
+            yield from packed(c[:, :last])
+        held, n = [c[:, last:]], c.shape[1] - last if last else 0
+    if held:
+        c = np.concatenate(held, axis=1)
+        if c.shape[1]:
+            yield from packed(c)
+
+
+def _met(batches):
+    """Pairs of different roots whose lengths and places of the shingle allow the similarity."""
+    for b in batches:
+        pairs: set[tuple[int, int]] = set()
+        for own, *lists in zip(*(c for c in b.columns)):
+            own = own.as_py()
+            key, root, at = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+            size, place = at >> 32, at & 0xFFFFFFFF
+            left = size - place  # shingles from this one on
+            need = SIMILARITY / (1 + SIMILARITY) * (size[:own, None] + size[None, :]) - 1e-6
+            near = (root[:own, None] != root[None, :]) & (np.minimum(left[:own, None], left[None, :]) >= need)
+            i, j = np.nonzero(near)
+            pairs |= set(zip(np.minimum(key[i], key[j]).tolist(), np.maximum(key[i], key[j]).tolist()))
+        cols = list(zip(*pairs)) if pairs else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["a", "b"])
+
+
+def pairs_of_prefixes(texts: DataFrame, rooted: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of keys with different roots that may have a similarity of ``SIMILARITY``.
+
+    ``texts`` has ``(doc_id, key, text)``, ``rooted`` has ``(key, id, root)``.  An exact prefix filter over the five-word
+    shingles: no similar pair is left out.  Rows are the prefixes, a fifth of the shingles, joined with roots before they
+    are dealt, so that no text is; a shingle's members are held by one task as numbers, and others compare blocks of them.
+    """
+    spark = texts.sparkSession
+    sample = texts.where(F.pmod(F.col("key"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_rolled, "h long")
+    hot = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).orderBy(F.desc("n"), "h").limit(HOT).toArrow()
+    h, n = (hot.column(i).to_numpy() for i in range(2))
+    order = np.argsort(h.view(np.uint64))
+    held = spark.sparkContext.broadcast((h.view(np.uint64)[order], n[order]))
+    p = texts.select("doc_id", "key", "text").mapInArrow(_prefixes(held), "doc_id long, key long, n long, h array<long>").alias("p")
+    on = (F.col("p.key") == F.col("r.key")) & F.col("p.doc_id").eqNullSafe(F.col("r.id"))
+    rows = p.join(rooted.alias("r"), on).select("p.key", "root", "n", F.posexplode("h").alias("place", "h"))
+    rows = rows.select("h", "key", "root", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
+    rows = rows.repartition("h").sortWithinPartitions("h")
+    met = rows.mapInArrow(_meetings, "own int, key array<long>, root array<long>, at array<long>")
+    return met.repartition(F.xxhash64("key")).mapInArrow(_met, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, key, group)`` of each row: groups of equal texts, of fingerprints two bits apart, and of texts with a
     similarity of 0.8 or more, verified on all their five-word shingles; ``group`` is the smallest doc_id reachable.
 
-    Candidates come by Golay keys of a fingerprint of words; what they find is verified on whole texts, so that only
-    similar texts are joined, and most of them are (the share found is in the README).  Spanning forests of crowded
-    buckets are verified first; then all pairs of a bucket that are not joined by then.  Texts are joined by their
-    64-bit hash; null and empty texts are equal.
+    Golay keys of a fingerprint of words join most near copies first: spanning forests of crowded buckets, then pairs of a
+    bucket that are not joined by then.  An exact prefix filter over the shingles finds every pair that these leave apart,
+    so that trimmed and extended copies are joined too.  All pairs are verified on whole texts.  Texts are joined by
+    their 64-bit hash; null and empty texts are equal.
     """
     small_batches(docs.sparkSession, 256)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
@@ -434,33 +587,42 @@ def groups(docs: DataFrame) -> DataFrame:
     wide = classes.select("key", "wide")
     few, pools = buckets(wide)
     pairs = cut(first_pairs(wide, few, pools), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(pools.select("key")).distinct()
-    needed = needed.join(classes.select("key", "id", "wide"), "key").alias("n")
     t = texts.withColumn("key", F.xxhash64("text")).alias("t")
-    on = (F.col("t.key") == F.col("n.key")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
-    sets = t.join(needed, on).select("t.key", "wide", "text")
-    sets = sets.mapInArrow(_shingled, "key long, wide binary, h array<long>, sketch binary")
-    sets = cut(sets.dropDuplicates(["key"]), "shingles")
-    a, b = sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
 
-    def verified(some: DataFrame) -> DataFrame:
+    def shingled(needed: DataFrame) -> DataFrame:
+        n = needed.join(classes.select("key", "id", "wide"), "key").alias("n")
+        on = (F.col("t.key") == F.col("n.key")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
+        sets = t.join(n, on).select("t.key", "wide", "text")
+        sets = sets.mapInArrow(_shingled, "key long, wide binary, h array<long>, sketch binary")
+        return cut(sets.dropDuplicates(["key"]), "shingles")
+
+    sets = shingled(pairs.select(F.explode(F.array("a", "b")).alias("key")).union(pools.select("key")).distinct())
+
+    def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
+        a, b = sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
         return some.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
 
+    def merged(rooted: DataFrame, found: DataFrame) -> DataFrame:
+        r = rooted.select("key", "root")
+        found = found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        last = connected_components(found).toDF("root", "last")
+        return rooted.join(last, "root", "left").select("key", "id", F.coalesce("last", "root").alias("root"))
+
     # Fingerprints two bits apart join their classes by the class of the smallest key.
     narrow = classes.groupBy("fp").agg(F.min("key").alias("first"))
     same = classes.join(narrow, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
     close = links(narrow.select("fp")).alias("l")
     f, g = narrow.alias("f"), narrow.alias("g")
     close = close.join(f, F.col("l.a") == F.col("f.fp")).join(g, F.col("l.b") == F.col("g.fp")).select(F.col("f.first").alias("a"), F.col("g.first").alias("b"))
-    roots = connected_components(verified(pairs).union(same).union(close)).withColumnRenamed("node", "key")
+    roots = connected_components(verified(pairs, sets).union(same).union(close)).withColumnRenamed("node", "key")
     rooted = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = cut(rooted, "first-roots")
     # What the first pairs left apart, between roots.
-    found = verified(pairs_apart(pools, rooted, sets.select("key", "wide", "sketch")))
-    r = rooted.select("key", "root")
-    found = found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    last = connected_components(found).toDF("root", "last")
-    rooted = rooted.join(last, "root", "left").select("key", "id", F.coalesce("last", "root").alias("root"))
+    found = verified(pairs_apart(pools, rooted, sets.select("key", "wide", "sketch")), sets)
+    rooted = cut(merged(rooted, found), "second-roots")
+    # What Golay keys never brought together.
+    rest = cut(pairs_of_prefixes(t, rooted), "prefix-pairs")
+    rooted = merged(rooted, verified(rest, shingled(rest.select(F.explode(F.array("a", "b")).alias("key")).distinct())))
     lowest = rooted.groupBy("root").agg(F.min("id").alias("group"))
     return prints.select("doc_id", "key").join(rooted.join(lowest, "root").select("key", "group"), "key")
 

@@ -223,6 +223,35 @@ def brute_links(pairs, n):
     return [find(i) for i in range(n)]
 
 
+def test_trimmed_and_extended_copies_are_found(spark):
+    """A block put on or cut off, at similarities of 0.8 to 0.9, small vocabularies too: every pair is in one group."""
+    r = random.Random(5)
+    texts = []
+    for n in range(40, 400, 6):
+        words = [f"w{r.randrange(60 if n % 4 else 4000)}" for _ in range(n)]
+        for share in (0.11, 0.17, 0.24):
+            texts.append(" ".join(words + [f"x{r.randrange(4000)}" for _ in range(int((n - 4) * share))]))
+        texts += [" ".join(words), " ".join(words[int((n - 4) * 0.15) :])]
+    rows = list(enumerate(texts))
+    group = {x.doc_id: x.group for x in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = similar_pairs(rows)
+    assert len(want) > 200 and all(group[a] == group[b] for a, b in want)
+    root = brute_links(want, len(rows))
+    assert all(root[d] == root[g] for d, g in group.items())
+
+
+def test_pairs_of_prefixes_are_those_of_an_exact_join(spark):
+    """Every similar pair of different roots comes, from hot shingles held in several blocks too."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(base + [f"x{r.randrange(9000)}" for _ in range(r.randrange(3, 14))]) for _ in range(900)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, i, t.encode()) for i, t in rows], "doc_id long, key long, text binary")
+    found = {(x.a, x.b) for x in simhash.pairs_of_prefixes(df, df.selectExpr("key", "doc_id AS id", "key AS root")).collect()}
+    want = {tuple(sorted(p)) for p in similar_pairs(rows)}
+    assert len(texts) > 2 * simhash.IN_BLOCK and len(want) > 1000 and want <= found
+
+
 def test_recall_of_similar_texts(spark):
     """At least nine tenths of the similar pairs of the larger table end in one group."""
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
