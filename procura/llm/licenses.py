@@ -109,29 +109,40 @@ def normal(sentence: str) -> str:
 
 
 KNOWN = {normal(s): i for i, s in SENTENCES.items()}
+#: First parts of the known sentences that have an end within, and the most parts of one.
+FIRST = {normal(_ENDS.split(s)[0]) for s in SENTENCES.values() if len(_ENDS.split(s)) > 1}
+MAX_PARTS = max(len(_ENDS.split(s)) for s in SENTENCES.values())
 #: Rules by length, longest first, in the order given.
 ORDERED = sorted(RULES, key=lambda r: -len(r[1]))
-#: Each known sentence has one of these; a text without any has no known sentence.
-TRIGGERS = ("licen", "permission", "redistribut", "warrant", "in no event", "neither the name", "mpl was not", "unencumbered")
+#: Each known sentence has one of these; a text without any has no known sentence.  Single words, as a line may end between two.
+TRIGGERS = ("licen", "permission", "redistribut", "warrant", "liable", "endorse", "mozilla.org", "unencumbered")
+
+
+def _ways(part: str) -> tuple[str, str, str]:
+    """``part`` normalised: a number that begins a line may be of a list, or of the sentence ("version", "2.0")."""
+    return normal(_LEAD.sub("", part)), normal(_LEAD.sub("", part, count=1)), normal(part)
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """Known sentences of ``text`` as ``(start, stop, identifier)``, in order, none inside another.
 
     Sentences end at punctuation before a blank, or at an empty line; each line is tried as a sentence too, as notices
-    often stand without a full stop before them.  A sentence over several lines has its comment marks removed.
+    often stand without a full stop before them.  A known sentence with such an end within is met as the parts in a row.
+    Comment marks and list numbers are taken off before lines, or only before the first, or not at all.
     """
     found = []
-    for cut, spread in ((_ENDS, True), (re.compile(r"\n"), False)):
+    for cut in (_ENDS, re.compile(r"\n")):
+        ends = [(m.start(), m.end()) for m in cut.finditer(text)] + [(len(text), len(text))]
         at = 0
-        for m in [*cut.finditer(text), None]:
-            stop = m.start() if m else len(text)
+        for i, (stop, after) in enumerate(ends):
             part = text[at:stop]
             if part and any(t in part.lower() for t in TRIGGERS):
-                known = KNOWN.get(normal(_LEAD.sub("", part) if spread else part)) or KNOWN.get(normal(_LEAD.sub("", part)))
-                if known:
-                    found.append((at, stop, known))
-            at = m.end() if m else stop
+                ways = _ways(part)
+                more = MAX_PARTS if cut is _ENDS and any(w in FIRST for w in ways) else 1
+                for last, _ in ends[i : i + more]:
+                    if known := next((KNOWN[w] for w in (ways if last == stop else _ways(text[at:last])) if w in KNOWN), None):
+                        found.append((at, last, known))
+            at = after
     out: list[tuple[int, int, str]] = []
     for s, e, i in sorted(set(found), key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:

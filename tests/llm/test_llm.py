@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -485,6 +486,23 @@ def test_licenses():
     assert found == []
 
 
+def test_every_sentence_and_rule_is_met_in_running_text():
+    s = {i: x if x[-1] in ".:;" else x + "." for i, x in licenses.SENTENCES.items()}
+    assert all(any(t in w for t in licenses.TRIGGERS) for w in licenses.FIRST)
+    for mark in ("", " * ", "# "):
+        for width in (30, 50, 70, 9999):
+            wrapped = lambda x: mark + ("\n" + mark).join(textwrap.wrap(x, width, break_long_words=False, break_on_hyphens=False))  # noqa: E731,B023
+            for i, x in s.items():
+                assert licenses.recognise(wrapped("Some words before. " + x + " And some words after."))[1] == [i], (i, width)
+                assert licenses.recognise(wrapped(x))[1] == [i], (i, width)
+            for licence, rule in licenses.RULES:
+                text = "Code of ours; " + " ".join(s[i] for i in rule) + " That was it."
+                found, ids = licenses.recognise(wrapped(text))
+                assert ids == list(rule) and [(f[0], f[3]) for f in found] == [(licence, len(rule))], (rule, width)
+    found, _ = licenses.recognise("This program is free software; " + s["gpl2-later"] + "\n\n" + s["gpl-hope"] + " " + s["gpl-see"])
+    assert [f[0] for f in found] == ["GPL-2.0-or-later"]
+
+
 def test_licenses_of_real_documents(real):
     known = {"GNU General Public License, version 3": "GPL-3.0-only", "CC BY-NC 4.0": "CC-BY-NC-4.0", "MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0"}
     want = {r.doc_id: ",".join(sorted(v for k, v in known.items() if k in r.text)) for r in real.collect()}
