@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import small_batches, table, utf8
+from procura.llm.common import table, utf8
 from procura.llm.quality_rules import judge
 
 SAMPLE = 12_000  # labelled rows that a model is fitted on at most
@@ -196,7 +196,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.join(F.broadcast(some), "doc_id").select("label", utf8(F.col("text")).alias("text"))
-    small_batches(docs.sparkSession)
     got = rows.mapInArrow(_vectors, "label int, x array<double>").toArrow().to_pydict()
     if not got["label"]:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -216,7 +215,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             hit = pa.array((s >= 0.5).astype(np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), hit], ["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), utf8(F.col("text")).alias("text"))
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 

@@ -6,9 +6,12 @@ Null text counts as empty text everywhere.  Rows are never dropped because an id
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +33,29 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches: documents may be large, and a batch is held whole by a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_key(text: Column) -> Column:
+    """128 bits for a text (null as empty), by which equal texts are known without being compared."""
+    return F.unhex(F.md5(utf8(text)))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows.
+
+    Spark ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) or at one row; what a worker makes of a
+    batch is bounded by slicing it here, not by settings of the session.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "procura-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 

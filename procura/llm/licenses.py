@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import small_batches, table, utf8
+from procura.llm.common import table, utf8
 
 MAX_GAP = 2  # unknown sentences between two of a rule
 
@@ -202,7 +202,6 @@ def licenses(docs: DataFrame) -> DataFrame:
     points), ``n_unmatched`` (known sentences that no rule took).  Null, empty and other texts have no row; other
     columns are ignored.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     return rows.mapInArrow(
         _scanned, "doc_id long, licenses string, n_rules long, n_sentences long, sentence_ids string, spans string, n_unmatched long"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import small_batches, table, utf8
+from procura.llm.common import table, utf8
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -112,7 +112,6 @@ def rules(docs: DataFrame) -> DataFrame:
     Lines that fail a rule go; a document whose lines lose over half of its word characters is rejected, and one that
     fails the base rules is too.  Null and empty texts have no word and fail the base rules.
     """
-    small_batches(docs.sparkSession)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     return some.mapInArrow(_judged, f"doc_id long, {SCHEMA}")
 
@@ -133,7 +132,6 @@ def _cleaned(batches):
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
-    small_batches(spark)
     some = docs.select("doc_id", utf8(F.col("text")).alias("text"), "lang", "source")
     return some.mapInArrow(_cleaned, "doc_id long, text string, lang string, source string, n_chars long")
 

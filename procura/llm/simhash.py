@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from procura.llm.common import connected_components, cut, small_batches, table, utf8
+from procura.llm.common import connected_components, cut, table, utf8
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -53,7 +53,6 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``, a row for each row."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(
         _fingerprints, "doc_id long, fp long"
     )
@@ -578,7 +577,6 @@ def groups(docs: DataFrame) -> DataFrame:
     so that trimmed and extended copies are joined too.  All pairs are verified on whole texts.  Texts are joined by
     their 64-bit hash; null and empty texts are equal.
     """
-    small_batches(docs.sparkSession, 256)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     prints = cut(texts.mapInArrow(_word_prints, "doc_id long, key long, fp long, wide binary"), "word-prints")
     classes = cut(

@@ -427,31 +427,6 @@ def test_ownership_separates_copied_values(spark):
     assert got[10].spans.startswith("jwt:4:") and got[10].n_assign == 0
 
 
-# --- 1 ---------------------------------------------------------------------------------------------------------------
-def test_decontamination(spark):
-    item = "a train leaves Boston at 5 km per hour and Tom eats 3 apples before Tom meets Ann in the park"
-    same = item.replace("Boston", "Chicago").replace("Tom", "Bob").replace("Ann", "Eve").replace("5", "70").replace("3", "12")
-    torn = same.replace("Bob meets", "Max meets").replace("eats 12", "eats 12")
-    rows = [(1, "intro words here. " + item + " and more"), (2, "well, " + same), (3, torn), (4, "a quite different text about a train and apples"), (5, None), (6, ""), (None, item)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(10, item), (11, None), (12, "short one here"), (13, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs, bench).collect()}
-    assert got == {(1, 10): "verbatim", (2, 10): "template", (None, 10): "verbatim"}
-    assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
-
-
-def test_decontamination_finds_all_of_the_real_leaks(spark, real, sf_dir, monkeypatch):
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
-    items = {r.item_id: grams(words_of(r.text), 13) for r in bench.collect()}
-    texts = {r.doc_id: grams(words_of(r.text), 13) for r in real.collect()}
-    want = {(d, i) for d, t in texts.items() for i, g in items.items() if g & t}
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(real, bench).collect()}
-    assert want <= got
-    monkeypatch.setattr(decontam, "BLOCK_TOKENS", 100)
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(real, bench).collect()} == got
-
-
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
