@@ -485,53 +485,6 @@ def test_licenses_of_real_documents(real):
     assert got == {d: x for d, x in want.items() if x}
 
 
-# --- 8 ---------------------------------------------------------------------------------------------------------------
-def test_chains_and_alignment():
-    line = [(10 + 8 * i, 200 + 8 * i + (i > 5)) for i in range(12)]
-    got = substring.chains(line + [(30, 5), (500, 500)])
-    assert got[0] == line and all(len(c) > 1 for c in got)
-    assert substring.edits([1, 2, 3, 4], [1, 3, 4, 5]) == 2 and substring.edits([], [1]) == 1
-    assert substring.grown(list(b"abcdefgh"), list(b"abcXefgh")) == (8, 8, 1)
-
-
-def test_substring_finds_planted_passages(spark):
-    r = random.Random(5)
-    say = lambda n: [f"v{r.randrange(5000)}" for _ in range(n)]
-    passage, rows, holders = say(70), [], []
-    for i in range(60):
-        own = say(r.randrange(150, 300))
-        if i % 3 == 0:
-            p = list(passage)
-            for _ in range(i % 4):
-                p[r.randrange(70)] = "edited"
-            own[50:50] = p
-            holders.append(i)
-        rows.append((i, " ".join(own), "x"))
-    rows += [(100, rows[1][1], "x"), (101, rows[1][1], "x"), (102, None, "x"), (103, "", "x"), (None, "few words", "x")]
-    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
-    linked = {x for g in got if g.kind == "passage" for x in (g.doc_id, g.rep_doc_id)}
-    assert linked == set(holders)
-    assert all(g.n_words >= 60 for g in got if g.kind == "passage")
-    assert {(g.doc_id, g.rep_doc_id) for g in got if g.kind == "copy"} == {(100, 1), (101, 1)}
-
-
-def test_substring_recall_on_real_documents(spark, sf_dir):
-    """Every class of texts that shares 50 words in a row with another has a row."""
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    first = {}
-    for d, t in sorted(rows):
-        first.setdefault(t, d)
-    where = defaultdict(set)
-    for t, d in first.items():
-        w = words_of(t)
-        for i in range(len(w) - 49):
-            where[tuple(w[i : i + 50])].add(d)
-    want = set().union(*[x for x in where.values() if len(x) > 1], set())
-    got = substring.passages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
-    linked = {x for g in got if g.kind == "passage" for x in (g.doc_id, g.rep_doc_id)}
-    assert len(want - linked) <= 0.02 * len(want), sorted(want - linked)
-
-
 # --- 10 --------------------------------------------------------------------------------------------------------------
 def test_classifier_holds_out(spark):
     sf = "/root/testdata/sf0.01"
