@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import cache
 
@@ -11,9 +12,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from procura.llm.common import connected_components, cut, table, utf8
+from procura.llm.common import connected_components, cut, pieces, table, text_key, utf8
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -46,7 +46,7 @@ def simhash(text: bytes, k: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches):
-    for b in batches:
+    for b in pieces(batches):
         fp = pa.array([simhash(t) for t in b.column(1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
@@ -179,15 +179,8 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE_SEGMENTS, WIDE = 24, 21  # of 512 bits
 SEEDS = 8
-FAR_BITS = 112  # of 512: pairs beyond that are left to the prefix filter
-#: Buckets of more members are not paired; a block of one is held by a task.
-PAIRED_WIDE, IN_BLOCK, ANCHORS = 4, 384, 64
-#: Crowded buckets of one whole segment are pooled up to this many members; beyond, each is a pool of its own.
-POOLED = 4096
-#: Smallest shingle hashes kept of a text for a comparison before verification: all of most texts.  Where there are more, texts
-#: of a similarity of 0.8 have four fifths in common on average; the share asked for is five deviations below.
-SKETCH, SKETCH_SHARE = 512, 0.7
-COLUMNS = 1 << 13  # hashes compared at once; bounds memory
+FAR_BITS = 112  # of 512: pairs of a bucket beyond that are left to the prefix filter
+IN_BLOCK = 384  # members of a shingle that a task compares at once
 #: Shingles that this many of a sixteenth of the texts have come last in the order of prefixes, at most ``HOT`` of them.  Any
 #: order finds every pair; this one keeps common shingles out of prefixes.
 HOT_IN_SAMPLE, SAMPLED, HOT = 3, 16, 1 << 20
@@ -214,12 +207,12 @@ def word_print(text: bytes, memo: dict[bytes, bytes]) -> bytes:
 
 def _word_prints(batches):
     memo: dict[bytes, bytes] = {}
-    for b in batches:
+    for b in pieces(batches):
         texts = b.column(1).to_pylist()
-        key = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+        th = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())  # as the JVM's
         wide = pa.array([word_print(t, memo) for t in texts], pa.binary())
         narrow = pa.array([simhash(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.int64()), narrow, wide], ["doc_id", "key", "fp", "wide"])
+        yield pa.RecordBatch.from_arrays([b.column(0), th, narrow, wide], ["doc_id", "th", "fp", "wide"])
 
 
 def wide_keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +228,7 @@ def wide_keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _wide_keys(batches):
-    for b in batches:
+    for b in pieces(batches, 4096):
         if not b.num_rows:
             continue
         wide = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * SEEDS)
@@ -244,80 +237,6 @@ def _wide_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key, pa.int64())], ["bucket", "key"])
 
 
-def _distances(wide: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(wide), np.uint64).reshape(len(wide), SEEDS)
-    out = np.zeros((len(wide), len(wide)), np.uint16)
-    for s in range(SEEDS):
-        out += np.bitwise_count(x[:, s][:, None] ^ x[:, s][None, :])
-    return out
-
-
-def _tree(d: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a least spanning forest of distances ``d``, without those over ``FAR_BITS``."""
-    n = len(d)
-    best, parent, out = d[0].copy(), np.zeros(n, np.int64), []
-    left = np.ones(n, bool)
-    left[0] = False
-    for _ in range(n - 1):
-        j = int(np.where(left, best, 30_000).argmin())
-        left[j] = False
-        if best[j] <= FAR_BITS:
-            out.append((int(parent[j]), j))
-        closer = left & (d[j] < best)
-        best[closer], parent[closer] = d[j][closer], j
-    return out
-
-
-def _near_in_block(batches):
-    """A least spanning forest of each block, within ``FAR_BITS``."""
-    for b in batches:
-        pairs: set[tuple[int, int]] = set()
-        for members in b.column(0).to_pylist():
-            own = {m["key"]: m["wide"] for m in members}
-            keys = sorted(own)
-            d = _distances([own[k] for k in keys])
-            np.fill_diagonal(d, 10_000)
-            pairs |= {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in _tree(d)}
-        rows = list(zip(*pairs)) if pairs else [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
-
-
-def _common(sketches: list[bytes], some: np.ndarray) -> np.ndarray:
-    """``(len(some), n)``: hashes that ``sketches`` of ``some`` and of all have in common."""
-    row = np.repeat(np.arange(len(sketches)), [len(x) // 4 for x in sketches])
-    _, column, count = np.unique(np.frombuffer(b"".join(sketches), np.uint32), return_inverse=True, return_counts=True)
-    twice = count > 1  # hashes of one alone are common to none
-    number, row = (np.cumsum(twice) - 1)[column[twice[column]]], row[twice[column]]
-    out = np.zeros((len(some), len(sketches)), np.float32)
-    for low in range(0, int(twice.sum()), COLUMNS):
-        here = (number >= low) & (number < low + COLUMNS)
-        has = np.zeros((len(sketches), COLUMNS), np.float32)
-        has[row[here], number[here] - low] = 1
-        out += has[some] @ has.T
-    return out
-
-
-def _apart_in_block(batches):
-    """Of each block, the pairs of a minor member and any other of another root that may be similar."""
-    for b in batches:
-        pairs: set[tuple[int, int]] = set()
-        for block in b.column(0):  # one at a time: a batch has many
-            own = sorted((m["key"], m["root"], m["minor"], m["wide"], m["sketch"]) for m in block.as_py())
-            root = np.array([m[1] for m in own])
-            minor = np.flatnonzero([m[2] for m in own])
-            near = (_distances([m[3] for m in own])[minor] <= FAR_BITS) & (root[minor][:, None] != root[None, :])
-            if not near.any():
-                continue
-            size = np.array([len(m[4]) // 4 for m in own])
-            x, y, common = size[minor][:, None], size[None, :], _common([m[4] for m in own], minor)
-            # Hashes are cut to 32 bits: one may meet another of its text.
-            whole = common + 1 >= SIMILARITY * (x + y - common - 1)
-            near &= np.where((x < SKETCH) & (y < SKETCH), whole, common >= SKETCH_SHARE * np.maximum(x, y))
-            pairs |= {tuple(sorted((own[minor[i]][0], own[j][0]))) for i, j in zip(*np.nonzero(near))}
-        rows = list(zip(*pairs)) if pairs else [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in rows], ["a", "b"])
-
-
 def shingles(text: bytes, k: int = SIMILAR_SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles of the whole text."""
     words = text.lower().split()
@@ -328,15 +247,13 @@ def shingles(text: bytes, k: int = SIMILAR_SHINGLE) -> np.ndarray:
 
 
 def _shingled(batches):
-    for b in batches:
-        h = [shingles(t) for t in b.column(2).to_pylist()]
-        sketch = pa.array([(x[:SKETCH] & 0xFFFFFFFF).astype(np.uint32).tobytes() for x in h], pa.binary())
-        columns = [b.column(0), b.column(1), pa.array(h, pa.list_(pa.int64())), sketch]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "wide", "h", "sketch"])
+    for b in pieces(batches):
+        h = [shingles(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["key", "h"])
 
 
 def _similar(batches):
-    for b in batches:
+    for b in pieces(batches):
         good = []
         x, y = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
         ends = [np.concatenate(([0], np.cumsum(pc.list_value_length(b.column(i)).to_numpy(zero_copy_only=False)))) for i in (2, 3)]
@@ -347,77 +264,19 @@ def _similar(batches):
         yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def buckets(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``(key, wide)``: pairs ``(a, b)`` of buckets of up to ``PAIRED_WIDE``, and ``(pool, key)`` of larger ones.
+def bucket_pairs(wide: DataFrame) -> DataFrame:
+    """Of ``(key, wide)``: pairs ``(a, b)`` of each member of a bucket and the smallest there, within ``FAR_BITS``.
 
-    Near copies meet under most codeword indices of a segment: crowded buckets of one whole segment become one pool,
-    in which a member stands once, unless it has over ``POOLED``.  A pool has all pairs of its buckets.
+    One rule for buckets of any size; pairs grow with the members, and copies of one text have most buckets, and so the
+    smallest member, in common.
     """
     keys = wide.mapInArrow(_wide_keys, "bucket long, key long")
-    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(keys.join(sizes, "bucket"), "shared-buckets")
-    few = shared.where(F.col("n") <= PAIRED_WIDE).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("m"))
-    pairs = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b").distinct()
-    crowded = shared.where(F.col("n") > PAIRED_WIDE).select(F.shiftright("bucket", 12).alias("pool"), "bucket", "key")
-    pooled = crowded.select("pool", "key").distinct()
-    sizes = pooled.groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
-    small = pooled.join(sizes.where(F.col("n") <= POOLED), "pool").select("pool", "key")
-    own = F.col("bucket").bitwiseOR(F.lit(1 << 62)).alias("pool")
-    large = crowded.join(sizes.where(F.col("n") > POOLED), "pool").select(own, "key")
-    return pairs, cut(small.union(large), "pools")
-
-
-def first_pairs(wide: DataFrame, pairs: DataFrame, pools: DataFrame) -> DataFrame:
-    """``(a, b)`` to verify first: ``pairs`` within ``FAR_BITS``, and spanning forests of the blocks of ``pools``.
-
-    Members are dealt to blocks by their hash, the same blocks in each pool, and meet the pool's ``ANCHORS`` smallest
-    members there.  What forests leave out is up to ``pairs_apart``.
-    """
-    w = wide.alias("w")
-    x = pairs.join(w.select(F.col("key").alias("a"), F.col("wide").alias("wa")), "a").join(w.select(F.col("key").alias("b"), F.col("wide").alias("wb")), "b")
+    least = keys.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("bucket", "a")
+    pairs = keys.withColumnRenamed("key", "b").join(least, "bucket").where("a < b").select("a", "b").distinct()
+    x = pairs.join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
     word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long")
     apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(16)), F.lit(0))
-    x = x.where(apart <= FAR_BITS).select("a", "b")
-
-    crowded = pools.join(pools.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "pool")
-    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / IN_BLOCK))).cast("long")
-    crowded = crowded.withColumn("blocks", F.greatest(F.lit(1), blocks))
-    nth = F.row_number().over(W.partitionBy("pool").orderBy("key"))
-    anchors = crowded.where("blocks > 1").withColumn("nth", nth).where(F.col("nth") <= ANCHORS)
-    anchors = anchors.select("pool", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    dealt = crowded.select("pool", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"))
-    # A set of members that several pools have is compared once.
-    sets = anchors.union(dealt).groupBy("pool", "block").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("keys").distinct()
-    members = sets.select(F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).join(wide, "key")
-    held = members.groupBy("set").agg(F.collect_list(F.struct("key", "wide")).alias("m")).select("m")
-    return x.union(held.mapInArrow(_near_in_block, "a long, b long")).distinct()
-
-
-def pairs_apart(pools: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)`` of one pool with different roots that may be similar by fingerprint and sketch.
-
-    ``roots`` has ``(key, root)``, ``sketches`` has ``(key, wide, sketch)``; each has every member of a pool once.
-    One root of a pool has most members; of any two with different roots, one is outside it, a minor.  Minors in chunks
-    meet all members in parts, each of ``IN_BLOCK`` about, so that every pair meets once, no group is held by one task,
-    and rows grow with the members and with those that the first pairs left apart, not with copies.
-    """
-    # Read three times below, so that the join is made once.
-    m = cut(pools.join(roots.select("key", "root"), "key"), "rooted-pools")
-    of = m.groupBy("pool", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("pool")
-    of = of.agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main")).where("n > main.c")
-    m = m.join(of, "pool").withColumn("minor", F.col("root") != F.col("main.root"))
-    parts, chunks = F.ceil(F.col("n") / IN_BLOCK), F.ceil((F.col("n") - F.col("main.c")) / IN_BLOCK)
-    every = m.withColumn("minor", F.lit(False)).select(
-        "pool", "key", "root", "minor", F.pmod(F.xxhash64("key"), parts).alias("part"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
-    )
-    minors = m.where("minor").select(
-        "pool", "key", "root", "minor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.pmod(F.xxhash64("key", F.lit(1)), chunks).alias("chunk")
-    )
-    # A minor that stands among its own part's members too is one row, and a minor.
-    dealt = every.union(minors).groupBy("pool", "part", "chunk", "key", "root").agg(F.max("minor").alias("minor"))
-    one = F.struct("key", "root", "minor", "wide", "sketch")
-    held = dealt.join(sketches, "key").groupBy("pool", "part", "chunk").agg(F.collect_list(one).alias("m"))
-    return held.select("m").mapInArrow(_apart_in_block, "a long, b long").distinct()
+    return x.where(apart <= FAR_BITS).select("a", "b")
 
 
 def rolled(text: bytes, memo: dict[bytes, int], k: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -443,7 +302,7 @@ def rolled(text: bytes, memo: dict[bytes, int], k: int = SIMILAR_SHINGLE) -> np.
 
 def _rolled(batches):
     memo: dict[bytes, int] = {}
-    for b in batches:
+    for b in pieces(batches):
         h = [rolled(t, memo) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64) if h else [], pa.int64())], ["h"])
 
@@ -455,7 +314,7 @@ def _prefixes(held):
     def run(batches):
         hot, count = held.value
         memo: dict[bytes, int] = {}
-        for b in batches:
+        for b in pieces(batches):
             hs, sizes = [], []
             for t in b.column(2).to_pylist():
                 h = rolled(t, memo)
@@ -467,7 +326,7 @@ def _prefixes(held):
                 hs.append(h.view(np.int64))
                 sizes.append(n)
             cols = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(hs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "h"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n", "h"])
 
     return run
 
@@ -549,19 +408,19 @@ def _met(batches):
 def pairs_of_prefixes(texts: DataFrame, rooted: DataFrame) -> DataFrame:
     """All pairs ``(a, b)`` of keys with different roots that may have a similarity of ``SIMILARITY``.
 
-    ``texts`` has ``(doc_id, key, text)``, ``rooted`` has ``(key, id, root)``.  An exact prefix filter over the five-word
+    ``texts`` has ``(doc_id, th, text)``, ``rooted`` has ``(key, th, id, root)``.  An exact prefix filter over the five-word
     shingles: no similar pair is left out.  Rows are the prefixes, a fifth of the shingles, joined with roots before they
     are dealt, so that no text is; a shingle's members are held by one task as numbers, and others compare blocks of them.
     """
     spark = texts.sparkSession
-    sample = texts.where(F.pmod(F.col("key"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_rolled, "h long")
+    sample = texts.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_rolled, "h long")
     hot = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).orderBy(F.desc("n"), "h").limit(HOT).toArrow()
     h, n = (hot.column(i).to_numpy() for i in range(2))
     order = np.argsort(h.view(np.uint64))
     held = spark.sparkContext.broadcast((h.view(np.uint64)[order], n[order]))
-    p = texts.select("doc_id", "key", "text").mapInArrow(_prefixes(held), "doc_id long, key long, n long, h array<long>").alias("p")
-    on = (F.col("p.key") == F.col("r.key")) & F.col("p.doc_id").eqNullSafe(F.col("r.id"))
-    rows = p.join(rooted.alias("r"), on).select("p.key", "root", "n", F.posexplode("h").alias("place", "h"))
+    p = texts.select("doc_id", "th", "text").mapInArrow(_prefixes(held), "doc_id long, th binary, n long, h array<long>").alias("p")
+    on = (F.col("p.th") == F.col("r.th")) & F.col("p.doc_id").eqNullSafe(F.col("r.id"))
+    rows = p.join(rooted.alias("r"), on).select("r.key", "root", "n", F.posexplode("h").alias("place", "h"))
     rows = rows.select("h", "key", "root", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
     rows = rows.repartition("h").sortWithinPartitions("h")
     met = rows.mapInArrow(_meetings, "own int, key array<long>, root array<long>, at array<long>")
@@ -569,42 +428,29 @@ def pairs_of_prefixes(texts: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, group)`` of each row: groups of equal texts, of fingerprints two bits apart, and of texts with a
+    """``(doc_id, th, group)`` of each row: groups of equal texts, of fingerprints two bits apart, and of texts with a
     similarity of 0.8 or more, verified on all their five-word shingles; ``group`` is the smallest doc_id reachable.
 
-    Golay keys of a fingerprint of words join most near copies first: spanning forests of crowded buckets, then pairs of a
-    bucket that are not joined by then.  An exact prefix filter over the shingles finds every pair that these leave apart,
-    so that trimmed and extended copies are joined too.  All pairs are verified on whole texts.  Texts are joined by
-    their 64-bit hash; null and empty texts are equal.
+    Golay keys of a fingerprint of words join most near copies first.  An exact prefix filter over the shingles finds every
+    similar pair that these leave apart, trimmed and extended copies too, so that groups do not hang on the keys.  All
+    pairs are verified on whole texts.  Texts are equal by 128 bits; null and empty texts are equal; null ids are in
+    groups but never name one, unless all its ids are null; repeated rows repeat.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    prints = cut(texts.mapInArrow(_word_prints, "doc_id long, key long, fp long, wide binary"), "word-prints")
-    classes = cut(
-        prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "text-classes"
-    )
-    wide = classes.select("key", "wide")
-    few, pools = buckets(wide)
-    pairs = cut(first_pairs(wide, few, pools), "pairs")
-    t = texts.withColumn("key", F.xxhash64("text")).alias("t")
-
-    def shingled(needed: DataFrame) -> DataFrame:
-        n = needed.join(classes.select("key", "id", "wide"), "key").alias("n")
-        on = (F.col("t.key") == F.col("n.key")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
-        sets = t.join(n, on).select("t.key", "wide", "text")
-        sets = sets.mapInArrow(_shingled, "key long, wide binary, h array<long>, sketch binary")
-        return cut(sets.dropDuplicates(["key"]), "shingles")
-
-    sets = shingled(pairs.select(F.explode(F.array("a", "b")).alias("key")).union(pools.select("key")).distinct())
-
-    def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
-        return some.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
-
-    def merged(rooted: DataFrame, found: DataFrame) -> DataFrame:
-        r = rooted.select("key", "root")
-        found = found.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        last = connected_components(found).toDF("root", "last")
-        return rooted.join(last, "root", "left").select("key", "id", F.coalesce("last", "root").alias("root"))
+    prints = cut(texts.mapInArrow(_word_prints, "doc_id long, th binary, fp long, wide binary"), "word-prints")
+    classes = prints.groupBy("th").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide"))
+    classes = cut(classes.withColumn("key", F.monotonically_increasing_id()), "text-classes")  # numbered once, as written
+    pairs = cut(bucket_pairs(classes.select("key", "wide")), "pairs")
+    t = texts.withColumn("th", text_key(F.col("text"))).alias("t")
+
+    def verified(some: DataFrame) -> DataFrame:
+        needed = some.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        n = needed.join(classes.select("key", "th", "id"), "key").alias("n")
+        on = (F.col("t.th") == F.col("n.th")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
+        sets = t.join(n, on).select("n.key", "text").mapInArrow(_shingled, "key long, h array<long>")
+        sets = cut(sets.dropDuplicates(["key"]), "shingles")
+        x = some.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+        return x.select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
 
     # Fingerprints two bits apart join their classes by the class of the smallest key.
     narrow = classes.groupBy("fp").agg(F.min("key").alias("first"))
@@ -612,17 +458,17 @@ def groups(docs: DataFrame) -> DataFrame:
     close = links(narrow.select("fp")).alias("l")
     f, g = narrow.alias("f"), narrow.alias("g")
     close = close.join(f, F.col("l.a") == F.col("f.fp")).join(g, F.col("l.b") == F.col("g.fp")).select(F.col("f.first").alias("a"), F.col("g.first").alias("b"))
-    roots = connected_components(verified(pairs, sets).union(same).union(close)).withColumnRenamed("node", "key")
-    rooted = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = connected_components(verified(pairs).union(same).union(close)).withColumnRenamed("node", "key")
+    rooted = classes.select("key", "th", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = cut(rooted, "first-roots")
-    # What the first pairs left apart, between roots.
-    found = verified(pairs_apart(pools, rooted, sets.select("key", "wide", "sketch")), sets)
-    rooted = cut(merged(rooted, found), "second-roots")
-    # What Golay keys never brought together.
+    # What Golay keys left apart, between roots.
     rest = cut(pairs_of_prefixes(t, rooted), "prefix-pairs")
-    rooted = merged(rooted, verified(rest, shingled(rest.select(F.explode(F.array("a", "b")).alias("key")).distinct())))
+    r = rooted.select("key", "root")
+    found = verified(rest).join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    last = connected_components(found).toDF("root", "last")
+    rooted = rooted.join(last, "root", "left").select("th", "id", F.coalesce("last", "root").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("id").alias("group"))
-    return prints.select("doc_id", "key").join(rooted.join(lowest, "root").select("key", "group"), "key")
+    return prints.select("doc_id", "th").join(rooted.join(lowest, "root").select("th", "group"), "th")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -630,6 +476,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("group")))
     # Null ids are marked apart, so that the join and the removal of repeated rows share one exchange of the texts.
     row = {"id0": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
-    d = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64(utf8(F.col("text"))).alias("key")).withColumns(row)
-    kept = d.join(stay.withColumns(row).select(*row, "key").distinct(), [*row, "key"], "left_semi")
-    return kept.dropDuplicates([*row, "key"]).select("doc_id", "text", "lang", "source", "n_chars")
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars", text_key(F.col("text")).alias("th")).withColumns(row)
+    kept = d.join(stay.withColumns(row).select(*row, "th").distinct(), [*row, "th"], "left_semi")
+    return kept.dropDuplicates([*row, "th"]).select("doc_id", "text", "lang", "source", "n_chars")
