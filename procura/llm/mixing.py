@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -23,7 +23,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     Sources in code point order, null last, weigh 3, 1, 2 and so on.  A target stops at twice its source's size and
     the excess is shared again by weight: with sources in order of ``cap / weight`` the common level is the first
     ``(budget - caps before) / weights left`` that does not pass its own source's ratio.
-    The table has one row a source; the only ordered pass over it is of that size.
+    The table has one row a source, and one task orders it: meant for named sources, thousands of them, not for a source a host.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))) + 1)
@@ -46,21 +46,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    ``docs`` has ``doc_id, text, source``; other columns are ignored.  Returns
-    ``doc_id, size, source_size, target, taken, epochs``: whole epochs of a source come first, then documents in order
-    of a hash-random key until the source's budget (its target without fraction) is reached to the word; the document
-    at the cut gives its first words only.  Null and empty texts have size 0 and give 0; a null source is a source of
-    its own; rows of one id are mixed one by one; an empty table gives an empty one.
-    """
+def _mixed(docs: DataFrame, *rest: str) -> DataFrame:
+    """Each row of ``docs`` with what the mix takes of it, and the columns ``rest`` carried along, under ``rest``."""
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
-    ranged = sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    within = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    inner = ranged.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
+    size = n_words(F.col("text"))
+    carried = F.struct(F.lit(0).alias("_"), *rest).alias("rest")
+    # The text's hash is last in the order, so that reruns agree on rows of one id and size.
+    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("th"), carried)
+    if not rest:
+        rows = cut(rows, "mix-sizes")
+        sized = rows
+    else:
+        sized = cut(docs.select("source", size.alias("size"), key.alias("key")), "mix-sizes")
+    of_range = F.substring("key", 1, RANGE_DIGITS).alias("range")
+    within = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "th").rowsBetween(W.unboundedPreceding, -1)
+    inner = rows.select("*", of_range).withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    totals = sized.groupBy("source", of_range).agg(F.sum("size").alias("in_range"))
     over = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("in_range").over(over), F.lit(0)))
     # One small table carries a range's offset and its source's target, so that rows are joined once.
@@ -69,27 +70,51 @@ def mix(docs: DataFrame) -> DataFrame:
     side = o.join(t, F.col("o.source").eqNullSafe(F.col("t.source"))).select(
         F.col("o.source").alias("s"), F.col("o.range").alias("r"), "offset", "source_size", "target"
     )
-    rows = inner.join(side, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    joined = inner.join(side, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
-    rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("inner")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.select(
-        "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), epochs.alias("epochs")
-    )
+    left = budget - epochs * F.col("source_size") - F.col("offset") - F.col("inner")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
+    taken = (epochs * F.col("size") + part).cast("long")
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), epochs.alias("epochs"), part.alias("part"), "rest")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    ``docs`` has ``doc_id, text, source``; other columns are ignored.  Returns
+    ``doc_id, size, source_size, target, taken, epochs``: whole epochs of a source come first, then documents in order
+    of a hash-random key until the source's budget (its target without fraction) is reached to the word; the document
+    at the cut gives its first words only.  Null and empty texts have size 0 and give 0; a null source is a source of
+    its own; rows of one id are mixed one by one; an empty table gives an empty one.
+    """
+    return _mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first ``n`` words with the blanks between them; cuts lie where a word ends."""
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes words of, with ``taken``; ties on an id take what the id's row of that size takes."""
-    taken = mix(docs).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    d = docs.withColumn("size", n_words(F.col("text"))).alias("d")
-    t = taken.alias("t")
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.size") == F.col("t.size"))
-    return d.join(t, on).select("d.doc_id", "d.text", "d.lang", "d.source", "d.n_chars", "d.size", "t.taken")
+    """The mix itself: each row it takes words of, with ``text`` written out as often as it is taken, epochs on lines of
+    their own, and cut to the word where the budget ends; ``n_chars`` is of that text, ``taken`` its words.
+
+    Rows are carried through the prefix sums, so that repeated rows and rows of one id are mixed one by one.  Null and empty
+    texts give nothing and go.
+    """
+    d = _mixed(docs, "text", "lang").where("taken > 0")
+    text = F.col("rest.text")
+    whole = F.array_repeat(text, F.col("epochs").cast("int"))
+    rest = F.when(F.col("part") == F.col("size"), text).when(F.col("part") > 0, first_words(text, F.col("part")))
+    written = F.array_join(F.concat(whole, F.array(rest)), "\n")  # nulls are left out
+    d = d.select("doc_id", written.alias("text"), "rest.lang", "source", "size", "taken")
+    return d.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "size", "taken")
 
 
 _SIZED = r"""
