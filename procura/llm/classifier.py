@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import table, utf8
+from procura.llm.common import pieces, table, utf8
 from procura.llm.quality_rules import judge
 
 SAMPLE = 12_000  # labelled rows that a model is fitted on at most
@@ -181,7 +181,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _vectors(batches):
-    for b in batches:
+    for b in pieces(batches):
         x = [features(t) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
@@ -189,13 +189,17 @@ def _vectors(batches):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of ``labels.quality``, of at most ``sample`` labelled rows that are not held out.
 
-    The sample is the rows of the smallest hashes of their ids, the same in each run.  It is a few hundred kB of ids,
-    which is why it may be broadcast; its texts are turned into features on the executors, and only those are
-    collected.  Null ids and labels are left out; an id with several labels has its highest.
+    The sample is the ids of the smallest hashes, the same in each run.  It is a few hundred kB of ids, which is why it
+    may be broadcast; its texts are turned into features on the executors, and only those are collected.  Null ids and
+    labels are left out; an id with several labels has its highest, and one with several rows the text of the smallest
+    hash, so that what is collected is ``sample`` rows at most.
     """
-    some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
+    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    some = some.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(some), "doc_id").select("label", utf8(F.col("text")).alias("text"))
+    of_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
+    one = of_id.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.xxhash64("text")).alias("r"))
+    rows = one.select("r.label", "r.text")
     got = rows.mapInArrow(_vectors, "label int, x array<double>").toArrow().to_pydict()
     if not got["label"]:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -206,16 +210,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row; null texts count as empty, other columns are ignored."""
+    """``doc_id, held_out, score, predicted`` for each row, repeated ones too.
+
+    Null and empty texts have finite features and a score like any other; rows of a null id are not held out; an integer
+    ``doc_id`` of any width will do; other columns are ignored; an empty table gives an empty one.
+    """
 
     def scored(batches):
-        for b in batches:
+        for b in pieces(batches):
             x = np.array([features(t) for t in b.column(2).to_pylist()], float).reshape(-1, len(FEATURES))
             s = model.score(x)
             hit = pa.array((s >= 0.5).astype(np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), hit], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), utf8(F.col("text")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), utf8(F.col("text")).alias("text"))
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import table, utf8
+from procura.llm.common import pieces, table, utf8
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -100,7 +100,7 @@ SCHEMA = ", ".join(f"{n} {'boolean' if k == pa.bool_() else 'long'}" for n, k in
 
 
 def _judged(batches):
-    for b in batches:
+    for b in pieces(batches):
         rows = [judge(t)[0] for t in b.column(1).to_pylist()]
         cols = list(zip(*rows)) if rows else [[]] * len(NAMES)
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(cols, KINDS)]], ["doc_id", *NAMES])
@@ -117,7 +117,7 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def _cleaned(batches):
-    for b in batches:
+    for b in pieces(batches):
         texts, keep = [], []
         for t in b.column(1).to_pylist():
             found, lines = judge(t)
@@ -131,8 +131,11 @@ def _cleaned(batches):
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failing lines."""
-    some = docs.select("doc_id", utf8(F.col("text")).alias("text"), "lang", "source")
+    """Documents that pass, without their failing lines.
+
+    Null and empty texts fail and go; repeated rows are judged one by one; ``n_chars`` is that of the cleaned text.
+    """
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"), "lang", "source")
     return some.mapInArrow(_cleaned, "doc_id long, text string, lang string, source string, n_chars long")
 
 
