@@ -177,9 +177,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: some pair has a whole one beside one of two errors at most.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-WIDE_SEGMENTS, WIDE = 24, 21  # of 512 bits
-SEEDS = 8
-FAR_BITS = 112  # of 512: pairs of a bucket beyond that are left to the prefix filter
+WIDE_SEGMENTS, WIDE = 12, 21  # of 256 bits
+SEEDS = 4
+FAR_BITS = 56  # of 256: pairs of a bucket beyond that are left to the prefix filter
 IN_BLOCK = 384  # members of a shingle that a task compares at once
 #: Shingles that this many of a sixteenth of the texts have come last in the order of prefixes, at most ``HOT`` of them.  Any
 #: order finds every pair; this one keeps common shingles out of prefixes.
@@ -188,7 +188,7 @@ SCANNED = 1 << 16  # rows of prefixes looked at together
 
 
 def word_print(text: bytes, memo: dict[bytes, bytes]) -> bytes:
-    """512-bit fingerprint of the distinct lower-cased words."""
+    """256-bit fingerprint of the distinct lower-cased words."""
     words = set(text.lower().split())
     if len(memo) > 100_000:
         memo.clear()
@@ -216,7 +216,7 @@ def _word_prints(batches):
 
 
 def wide_keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(bucket, row)`` of ``(n, 64)`` bytes: a segment whole with a codeword index of the next, for each segment."""
+    """``(bucket, row)`` of ``(n, 32)`` bytes: a segment whole with a codeword index of the next, for each segment."""
     n = len(wide)
     bits = np.unpackbits(wide, axis=1)[:, : WIDE_SEGMENTS * WIDE].reshape(n, WIDE_SEGMENTS, WIDE)
     part = bits.astype(np.int64) @ (1 << np.arange(WIDE))
@@ -275,7 +275,7 @@ def bucket_pairs(wide: DataFrame) -> DataFrame:
     pairs = keys.withColumnRenamed("key", "b").join(least, "bucket").where("a < b").select("a", "b").distinct()
     x = pairs.join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
     word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long")
-    apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(16)), F.lit(0))
+    apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(2 * SEEDS)), F.lit(0))
     return x.where(apart <= FAR_BITS).select("a", "b")
 
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from procura import llm
-from procura.llm import classifier, decontam, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substring, warc
+from procura.llm import classifier, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substring
 from procura.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, `key` string, text2 string"
@@ -182,7 +182,7 @@ def test_near_copies_are_found_and_verified(spark, monkeypatch, block):
     assert all(root[d] == root[g] for d, g in group.items())  # nothing else is joined
 
 
-@pytest.mark.parametrize("far", [-1, 0, 112, 512])
+@pytest.mark.parametrize("far", [-1, 56, 256])
 def test_groups_do_not_hang_on_golay_keys(spark, monkeypatch, far):
     """Copies around the threshold: whatever pairs the buckets give, groups are those of all similar pairs."""
     monkeypatch.setattr(simhash, "FAR_BITS", far)
@@ -491,25 +491,6 @@ def test_hostile_texts_take_linear_time(spark):
     assert time.time() - began < 30 and got[4] == "hex:0:1000000" and not got[0]
 
 
-# --- 5 ---------------------------------------------------------------------------------------------------------------
-def test_warc_round_trip(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    extra = spark.createDataFrame([(None, None, None), (1, "http://x/\r\nWARC-Type: evil", ""), (2, "http://y", "<p>a &amp; b<br>c<script>no</script>")], pages.schema)
-    found = warc.responses(pages.union(extra))
-    source = {r.response_id: r.block for r in found.collect()}
-    rows = warc.derivatives(found).collect()
-    assert len(rows) == 2 * (pages.count() + 3)
-    data = b"".join(bytes(r.record) for r in rows)
-    for (head, block), r in zip(warc.parse(data), rows, strict=True):
-        assert block == bytes(r.block) and head["WARC-Type"] == r.record_type and head["WARC-Refers-To"] == r.refers_to
-        assert head["WARC-Block-Digest"] == warc.digest(block) and int(head["Content-Length"]) == len(block)
-        assert r.source_block_digest == warc.digest(bytes(source[r.refers_to]))
-    assert len({r.record_id for r in rows}) == len(rows)
-    text = {r.target_uri: bytes(r.block).decode() for r in rows if r.record_type == "conversion"}
-    assert text["http://y"] == "a & b\nc" and all("track(" not in t and "<p>" not in t for t in text.values())
-    assert warc.op5_warc(spark, sf_dir).count() == 2 * pages.count()
-
-
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 def test_licenses():
     assert all(any(t in s.lower() for t in licenses.TRIGGERS) for s in licenses.SENTENCES.values())
