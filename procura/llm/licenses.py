@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import table, utf8
+from procura.llm.common import pieces, table, utf8
 
-MAX_GAP = 2  # unknown sentences between two of a rule
+MAX_GAP = 2  # unknown sentences between two of a notice
+TEXT_GAP = 1000  # and between two of a whole text
 
 # Sentences of public licence texts and the usual notices.  Identifier, then sentence.
 SENTENCES = {
@@ -62,10 +63,116 @@ SENTENCES = {
     "cc-by-4": "Licensed under CC BY 4.0.",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
     "cc-by-4-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
-    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "cc-by-sa-4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-4-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "bsd-names-uc": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.",
+    "bsd-asis": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-asis-uc": "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "mit0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+    "whom the Software is furnished to do so.",
+    "ncsa-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal with the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+    "whom the Software is furnished to do so, subject to the following conditions:",
+    "isc-asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "postgresql-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without "
+    "fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the "
+    "following two paragraphs appear in all copies.",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+    "it and redistribute it freely, subject to the following restrictions:",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+    'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and '
+    "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
+    "furnished to do so, all subject to the following:",
+    "agpl3-later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "agpl-copy": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "lgpl21-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "lgpl2-later": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by "
+    "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "ofl-ref": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "eupl-ref": "Licensed under the EUPL",
+    "eupl-applies": "This European Union Public Licence (the 'EUPL') applies to the Work (as defined below) which is provided under the "
+    "terms of this Licence.",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "epl-terms": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT").',
+    "mspl-title": "Microsoft Public License (Ms-PL)",
+    "mspl-accept": "If you use the software, you accept this license.",
+    # Of whole texts: sentences that no other text has, two or three each.
+    "apache-text1": '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 '
+    "through 9 of this document.",
+    "apache-text2": "Unless You explicitly state otherwise, any Contribution intentionally submitted for inclusion in the Work by You to "
+    "the Licensor shall be under the terms and conditions of this License, without any additional terms or conditions.",
+    "apache-text3": "To apply the Apache License to your work, attach the following boilerplate notice, with the fields enclosed by "
+    'brackets "[]" replaced with your own identifying information.',
+    "gpl1-text1": "The license agreements of most software companies try to keep users at the mercy of those companies.",
+    "gpl1-text2": "You may not copy, modify, sublicense, distribute or transfer the Program except as expressly provided under this "
+    "General Public License.",
+    "gpl2-text1": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free "
+    "software--to make sure the software is free for all its users.",
+    "gpl2-text2": "You may not copy, modify, sublicense, or distribute the Program except as expressly provided under this License.",
+    "gpl3-text1": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl3-text2": "Limiting the use for publicity purposes of names of licensors or authors of the material;",
+    "agpl3-text1": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+    "specifically designed to ensure cooperation with the community in the case of network server software.",
+    "lgpl2-text1": "This license, the Library General Public License, applies to some specially designated Free Software Foundation "
+    "software, and to any other libraries whose authors decide to use it.",
+    "lgpl2-text2": "However, in a textual and legal sense, the linked executable is a combined work, a derivative of the original "
+    "library, and the ordinary General Public License treats it as such.",
+    "lgpl21-text1": "This license, the Lesser General Public License, applies to some specially designated software "
+    "packages--typically libraries--of the Free Software Foundation and other authors who decide to use it.",
+    "lgpl21-text2": "The Lesser General Public License permits more lax criteria for linking other code with the library.",
+    "lgpl3-text1": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU "
+    "General Public License, supplemented by the additional permissions listed below.",
+    "lgpl3-text2": "If the Library as you received it does not specify a version number of the GNU Lesser General Public License, you "
+    "may choose any version of the GNU Lesser General Public License ever published by the Free Software Foundation.",
+    "mpl11-text1": "The Initial Developer hereby grants You a world-wide, royalty-free, non-exclusive license, subject to third party "
+    "intellectual property claims:",
+    "mpl11-text2": "Once Covered Code has been published under a particular version of the License, You may always continue to use it "
+    "under the terms of that version.",
+    "mpl2-text1": "that the Covered Software was made available under the terms of version 1.1 or earlier of the License, but not also "
+    "under the terms of a Secondary License.",
+    "mpl2-text2": "If it is impossible for You to comply with any of the terms of this License with respect to some or all of the "
+    "Covered Software due to statute, judicial order, or regulation then You must:",
+    "cc0-text1": "The License shall be deemed effective as of the date CC0 was applied by Affirmer to the Work.",
+    "cc0-text2": "No trademark or patent rights held by Affirmer are waived, abandoned, surrendered, licensed or otherwise affected by "
+    "this document.",
+    "artistic1-text1": "It also means that recipients of the item may redistribute it under the same conditions they received it.",
+    "artistic1-text2": 'THIS PACKAGE IS PROVIDED "AS IS" AND WITHOUT ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, WITHOUT LIMITATION, '
+    "THE IMPLIED WARRANTIES OF MERCHANTIBILITY AND FITNESS FOR A PARTICULAR PURPOSE.",
+    "gfdl12-text": "Any other attempt to copy, modify, sublicense or distribute the Document is void, and will automatically terminate "
+    "your rights under this License.",
+    "gfdl13-text": "If the Document specifies that a proxy can decide which future versions of this License can be used, that proxy's "
+    "public statement of acceptance of a version permanently authorizes you to choose that version for the Document.",
+    "gfdl12-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+    "Documentation License, Version 1.2 or any later version published by the Free Software Foundation;",
+    "gfdl13-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+    "Documentation License, Version 1.3 or any later version published by the Free Software Foundation;",
 }
+#: Identifiers of the one-line form, which are their licences' names.
+SPDX = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "NCSA", "PostgreSQL", "Unlicense",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "OFL-1.1",
+    "MS-PL", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+SENTENCES |= {f"spdx-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 #: Licence, then identifiers in order; longer rules win over those inside them.
 RULES = [
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "asis-mit", "liable-mit")),
@@ -94,14 +201,71 @@ RULES = [
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC-BY-4.0", ("cc-by-4-long",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
-    ("MIT", ("spdx-mit",)),
-    ("Apache-2.0", ("spdx-apache",)),
-    ("GPL-3.0-or-later", ("spdx-gpl3",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names-uc", "bsd-asis-uc")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names-uc")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")),
+    ("MIT-0", ("mit0-grant", "asis-mit")),
+    ("MIT-0", ("mit0-grant",)),
+    ("NCSA", ("ncsa-grant",)),
+    ("ISC", ("isc-grant", "isc-asis")),
+    ("0BSD", ("0bsd-grant", "isc-asis")),
+    ("0BSD", ("0bsd-grant",)),
+    ("PostgreSQL", ("postgresql-grant",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gpl-hope", "agpl-see", "agpl-copy")),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("LGPL-2.0-or-later", ("lgpl2-later",)),
+    ("OFL-1.1", ("ofl-ref",)),
+    ("EUPL-1.2", ("eupl-applies",)),
+    ("EUPL-1.2", ("eupl-ref",)),
+    ("EPL-2.0", ("epl2-title", "epl-terms")),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-1.0", ("epl1-title", "epl-terms")),
+    ("EPL-1.0", ("epl1-title",)),
+    ("MS-PL", ("mspl-title", "mspl-accept")),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-long",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-long",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4-long",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-long",)),
+    ("GFDL-1.2-or-later", ("gfdl12-notice",)),
+    ("GFDL-1.3-or-later", ("gfdl13-notice",)),
+    *((x, (f"spdx-{x}",)) for x in SPDX),
+]
+#: Whole texts: their sentences stand far apart; the notice that a text gives as an example belongs to it.
+TEXTS = [
+    ("Apache-2.0", ("apache-text1", "apache-text2", "apache-text3", "apache-grant", "apache-comply", "apache-copy", "apache-asis", "apache-see")),
+    ("Apache-2.0", ("apache-text1", "apache-text2", "apache-text3")),
+    ("Apache-2.0", ("apache-text1", "apache-text2")),
+    ("GPL-1.0", ("gpl1-text1", "gpl1-text2")),
+    ("GPL-2.0", ("gpl2-text1", "gpl2-text2", "gpl2-later", "gpl-hope", "gpl-see", "gpl-copy")),
+    ("GPL-2.0", ("gpl2-text1", "gpl2-text2")),
+    ("GPL-3.0", ("gpl3-text1", "gpl3-text2", "gpl3-later", "gpl-hope", "gpl-see", "gpl-copy")),
+    ("GPL-3.0", ("gpl3-text1", "gpl3-text2")),
+    ("AGPL-3.0", ("agpl3-text1", "gpl3-text2", "agpl3-later", "gpl-hope", "agpl-see", "agpl-copy")),
+    ("AGPL-3.0", ("agpl3-text1", "gpl3-text2")),
+    ("LGPL-2.0", ("lgpl2-text1", "lgpl2-text2", "lgpl2-later")),
+    ("LGPL-2.0", ("lgpl2-text1", "lgpl2-text2")),
+    ("LGPL-2.1", ("lgpl21-text1", "lgpl21-text2", "lgpl21-later")),
+    ("LGPL-2.1", ("lgpl21-text1", "lgpl21-text2")),
+    ("LGPL-3.0", ("lgpl3-text1", "lgpl3-text2")),
+    ("MPL-1.1", ("mpl11-text1", "mpl11-text2")),
+    ("MPL-2.0", ("mpl2-text1", "mpl2-text2", "mpl2", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-text1", "mpl2-text2")),
+    ("CC0-1.0", ("cc0-text1", "cc0-text2")),
+    ("Artistic-1.0", ("artistic1-text1", "artistic1-text2")),
+    ("GFDL-1.2", ("gfdl12-text", "gfdl12-notice")),
+    ("GFDL-1.3", ("gfdl13-text", "gfdl13-notice")),
+    ("EUPL-1.2", ("eupl-applies", "eupl-ref")),
 ]
 
 _JUNK = re.compile(r"[^a-z0-9]+")
 _ENDS = re.compile(r"(?<=[.;:!?])\s+|\n\s*\n")
-_LEAD = re.compile(r"^\s*(?:[/*#;%-]+|\(?\d+[.)]|[a-z][.)])\s*", re.M)  # comment marks and list numbers
+_LEAD = re.compile(r"^\s*(?:[/*#;%-]+|\(?(?:\d+|[a-z])[.)])\s*", re.M)  # comment marks and list numbers
 
 
 def normal(sentence: str) -> str:
@@ -113,9 +277,16 @@ KNOWN = {normal(s): i for i, s in SENTENCES.items()}
 FIRST = {normal(_ENDS.split(s)[0]) for s in SENTENCES.values() if len(_ENDS.split(s)) > 1}
 MAX_PARTS = max(len(_ENDS.split(s)) for s in SENTENCES.values())
 #: Rules by length, longest first, in the order given.
-ORDERED = sorted(RULES, key=lambda r: -len(r[1]))
+ORDERED = sorted([(*r, TEXT_GAP) for r in TEXTS] + [(*r, MAX_GAP) for r in RULES], key=lambda r: -len(r[1]))
+BY_FIRST: dict[str, list] = {}
+for _rule in ORDERED:
+    BY_FIRST.setdefault(_rule[1][0], []).append(_rule)
 #: Each known sentence has one of these; a text without any has no known sentence.  Single words, as a line may end between two.
-TRIGGERS = ("licen", "permission", "redistribut", "warrant", "liable", "endorse", "mozilla.org", "unencumbered")
+TRIGGERS = ("licen", "permission", "redistribut", "warrant", "liable", "endorse", "mozilla.org", "unencumbered", "copies of the software")
+
+
+#: Comment marks before a line; they become blanks, so that places stay and empty comment lines are empty lines.
+_MARKS = re.compile(r"^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+)(?=[ \t\r\n]|$)", re.M)
 
 
 def _ways(part: str) -> tuple[str, str, str]:
@@ -159,18 +330,19 @@ def recognise(text: str) -> tuple[list[tuple[str, int, int, int]], list[str]]:
     """``[(licence, start, stop, sentences)]`` and the identifiers in order.
 
     The longest rule that matches at the earliest free sentence is taken; between its sentences up to ``MAX_GAP``
-    unknown ones may stand, and known ones may not.
+    unknown ones may stand (``TEXT_GAP`` in whole texts), and known ones may not.
     """
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
         return [], []
+    text = _MARKS.sub(lambda m: " " * len(m[0]), text)
     known = sentences(text)
     ids, out, at = [i for _, _, i in known], [], 0
     while at < len(ids):
-        for licence, rule in ORDERED:
+        for licence, rule, gap in BY_FIRST.get(ids[at], ()):
             n = len(rule)
             if tuple(ids[at : at + n]) == rule and all(
-                _between(text, known[j][1], known[j + 1][0]) <= MAX_GAP for j in range(at, at + n - 1)
+                _between(text, known[j][1], known[j + 1][0]) <= gap for j in range(at, at + n - 1)
             ):
                 out.append((licence, known[at][0], known[at + n - 1][1], n))
                 at += n
@@ -183,7 +355,7 @@ def recognise(text: str) -> tuple[list[tuple[str, int, int, int]], list[str]]:
 def _scanned(batches):
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["doc_id", "licenses", "n_rules", "n_sentences", "sentence_ids", "spans", "n_unmatched"]
-    for b in batches:
+    for b in pieces(batches):
         out = []
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found, ids = recognise(t.decode())

@@ -494,7 +494,8 @@ def test_hostile_texts_take_linear_time(spark):
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 def test_licenses():
     assert all(any(t in s.lower() for t in licenses.TRIGGERS) for s in licenses.SENTENCES.values())
-    assert all(set(ids) <= set(licenses.SENTENCES) for _, ids in licenses.RULES)
+    assert all(set(ids) <= set(licenses.SENTENCES) for _, ids, _ in licenses.ORDERED)
+    assert len({x for x, _, _ in licenses.ORDERED}) >= 40 and len(licenses.SENTENCES) < 200
     s = licenses.SENTENCES
     mit = "/*\n * " + "\n * ".join(re.findall(r".{1,60}(?:\s|$)", s["mit-grant"])) + "\n *\n * " + s["mit-notice"] + " " + s["asis-mit"] + "  " + s["liable-mit"]
     found, ids = licenses.recognise("Code.\n" + mit)
@@ -515,7 +516,7 @@ def test_every_sentence_and_rule_is_met_in_running_text():
             for i, x in s.items():
                 assert licenses.recognise(wrapped("Some words before. " + x + " And some words after."))[1] == [i], (i, width)
                 assert licenses.recognise(wrapped(x))[1] == [i], (i, width)
-            for licence, rule in licenses.RULES:
+            for licence, rule, _ in licenses.ORDERED:
                 text = "Code of ours; " + " ".join(s[i] for i in rule) + " That was it."
                 found, ids = licenses.recognise(wrapped(text))
                 assert ids == list(rule) and [(f[0], f[3]) for f in found] == [(licence, len(rule))], (rule, width)
@@ -523,6 +524,22 @@ def test_every_sentence_and_rule_is_met_in_running_text():
     assert [f[0] for f in found] == ["GPL-2.0-or-later"]
 
 
+WHOLE = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0"}
+WHOLE |= {"MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0"}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_texts(name):
+    """Texts as the system ships them, as they are and reflowed."""
+    try:
+        text = open(f"/usr/share/common-licenses/{name}", encoding="utf-8", errors="replace").read()
+    except OSError:
+        pytest.skip("no licence texts on this system")
+    blocks = [" ".join(x.split()) for x in re.split(r"\n\s*\n", text)]
+    for shape in (text, "\n\n".join(blocks), "\n\n".join("\n".join(textwrap.wrap(x, 45, break_on_hyphens=False)) for x in blocks), "x = 1\n/*\n * " + text.replace("\n", "\n * ")):
+        assert {f[0] for f in licenses.recognise(shape)[0]} == {WHOLE[name]}, licenses.recognise(shape)
+
+
 def test_licenses_of_real_documents(real):
     known = {"GNU General Public License, version 3": "GPL-3.0-only", "CC BY-NC 4.0": "CC-BY-NC-4.0", "MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0"}
     want = {r.doc_id: ",".join(sorted(v for k, v in known.items() if k in r.text)) for r in real.collect()}
