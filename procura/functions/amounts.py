@@ -45,6 +45,19 @@ def _read(t: Column) -> Column:
     return let(value, lambda v: F.struct(v.alias("value"), F.when(v.isNull(), 0).otherwise(sure).alias("confidence")))
 
 
+def money(raw: Column) -> Column:
+    """``struct(value double, currency string)`` of a JSON value: a number, a text, an object or a list of them (the first)."""
+    first = F.when(F.startswith(raw, F.lit("[")), F.get(F.from_json(raw, "array<string>"), F.lit(0))).otherwise(raw)
+
+    def read(v: Column) -> Column:
+        o = F.when(F.startswith(v, F.lit("{")), F.from_json(v, "struct<amount:string,value:string,currency:string,currencyCode:string>"))
+        inner = F.coalesce(o["amount"], o["value"], F.when(o.isNull(), v))
+        code = F.upper(F.coalesce(o["currency"], o["currencyCode"], currency(F.when(o.isNull(), v))))
+        return F.struct(F.coalesce(inner.try_cast("double"), amount(inner)["value"]).alias("value"), code.alias("currency"))
+
+    return let(first, read)
+
+
 def currency(x: Column) -> Column:
     named = F.nullif(F.upper(F.regexp_extract(x, r"(?iU)\b(" + "|".join(C.CURRENCIES) + r")\b", 1)), F.lit(""))
     bare = F.when(F.trim(x).rlike(r"(?U)^\p{Alpha}{3}$"), F.upper(F.trim(x)))

@@ -172,6 +172,23 @@ def first_text(x: Column, languages: tuple[str, ...] = ("deu", "de", "eng", "en"
     return F.trim(F.coalesce(*named, some(F.flatten(F.map_values(x)))))
 
 
+def texts_of(raw: Column) -> Column:
+    """``map<language, array<string>>`` of a JSON value of any shape: a text, a list of texts, or either by language.
+
+    ``raw`` is the value as Spark's JSON reader gives it for a string field: a text as it is, anything else as JSON.
+    """
+    listed = lambda v: F.when(F.startswith(v, F.lit("[")), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))
+    by_language = F.when(F.startswith(raw, F.lit("{")), F.from_json(raw, "map<string,string>"))
+    named = F.transform_values(by_language, lambda _, v: F.filter(listed(v), lambda t: t.isNotNull()))
+    return F.coalesce(named, F.when(raw.isNotNull(), F.create_map(F.lit(""), F.filter(listed(raw), lambda t: t.isNotNull()))))
+
+
+def as_list(raw: Column) -> Column:
+    """A JSON value as a list: null is empty, a list is itself, any other value is its only element."""
+    none = F.array().cast("array<string>")
+    return F.when(raw.isNull(), none).otherwise(F.filter(F.flatten(F.map_values(texts_of(raw))), lambda t: t.isNotNull()))
+
+
 def all_texts(x: Column) -> Column:
     return F.filter(F.transform(F.flatten(F.map_values(x)), lambda t: F.trim(t)), lambda t: t != "")
 

@@ -36,30 +36,48 @@ def in_window(new: Column, old: Column, days: int) -> Column:
 
 
 def exact_matches(new: DataFrame, store: DataFrame, key: str, reason: str, confidence: int) -> DataFrame:
-    """``(id, candidate, reason, confidence)``: the first record (first seen, then id) of another source with the key."""
-    n, s = new.alias("n"), store.alias("s")
-    on = (F.col(f"n.{key}") == F.col(f"s.{key}")) & (F.col("n.source") != F.col("s.source"))
-    usable = F.length(F.col(f"n.{key}").cast("string")) > 0
-    best = n.where(usable).join(s, on).groupBy("n.id").agg(F.min(F.struct("s.first_seen", "s.id")).alias("b"))
+    """``(id, candidate, reason, confidence)``: the first record (first seen, then id) of another source with the key.
+
+    The store is reduced to the first record a key and source before the join, so that rows are new records times sources,
+    however many records share a key.
+    """
+    usable = F.length(F.col(key).cast("string")) > 0
+    first = store.where(usable).groupBy(F.col(key).alias("k"), F.col("source").alias("of")).agg(F.min(F.struct("first_seen", "id")).alias("b"))
+    found = new.where(usable).select("id", "source", F.col(key).alias("k")).join(first, "k").where("source <> of")
+    best = found.groupBy("id").agg(F.min("b").alias("b"))
     return best.select("id", F.col("b.id").alias("candidate"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"))
 
 
+def _within_days(new: DataFrame, store: DataFrame, key: str, days: int, *cols: str | Column) -> DataFrame:
+    """Pairs of one key and different sources whose dates are ``in_window``; a bucket of days is part of the join's key.
+
+    Only records without a date, which restrict nothing, are joined by the key alone.
+    """
+    bucket = F.floor(F.datediff("publication_date", F.lit("1970-01-01").cast("date")) / max(days, 1))
+    dated, undated = F.col("publication_date").isNotNull(), F.col("publication_date").isNull()
+    base = (F.col(f"n.{key}") == F.col(f"s.{key}")) & (F.col("n.source") != F.col("s.source"))
+    n = new.where(dated).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("n")
+    s = store.where(dated).withColumn("bucket", bucket).alias("s")
+    window = in_window(F.col("n.publication_date"), F.col("s.publication_date"), days)
+    close = n.join(s, base & (F.col("n.bucket") == F.col("s.bucket")) & window).select(*cols)
+    free = new.where(undated).alias("n").join(store.alias("s"), base).select(*cols)
+    return close.union(free).union(new.where(dated).alias("n").join(store.where(undated).alias("s"), base).select(*cols))
+
+
 def candidates(new: DataFrame, store: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Pairs to compare: all of the same block, then of the same authority the newest ``authority_candidates``."""
-    n, s = new.where("title_normalized <> ''").alias("n"), store.alias("s")
-    base = (F.col("n.source") != F.col("s.source")) & in_window(F.col("n.publication_date"), F.col("s.publication_date"), p.window_days)
-    cols = ["n.id", F.col("s.id").alias("candidate")]
+    new = new.where("title_normalized <> ''")
     texts = [F.col(f"{a}.{c}").alias(f"{c}_{b}") for a, b in (("n", "new"), ("s", "old")) for c in ("title_normalized", "authority_normalized")]
-    block = n.join(s, (F.col("n.blocking_key") == F.col("s.blocking_key")) & base).select(*cols, *texts, F.lit(0).alias("grp"))
-    same = (F.col("n.authority_normalized") == F.col("s.authority_normalized")) & (F.col("n.blocking_key") != F.col("s.blocking_key"))
+    cols = ["n.id", F.col("s.id").alias("candidate"), *texts]
+    block = _within_days(new, store, "blocking_key", p.window_days, *cols, F.lit(0).alias("grp"))
     newest = W.partitionBy("id").orderBy(F.col("last_seen_at").desc(), "candidate")
+    other = F.col("n.blocking_key").eqNullSafe(F.col("s.blocking_key")).alias("same_block")
     near = (
-        n.where("authority_normalized <> ''")
-        .join(s, same & base)
-        .select(*cols, *texts, F.lit(1).alias("grp"), "s.last_seen_at")
+        _within_days(new.where("authority_normalized <> ''"), store, "authority_normalized", p.window_days, *cols, F.lit(1).alias("grp"), "s.last_seen_at", other)
+        .where("NOT same_block")
         .withColumn("rank", F.row_number().over(newest))
         .where(F.col("rank") <= p.authority_candidates)
-        .drop("rank", "last_seen_at")
+        .drop("rank", "last_seen_at", "same_block")
     )
     return block.unionByName(near)
 
@@ -77,7 +95,10 @@ def fuzzy_matches(pairs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     comparable = (F.col("authority_normalized_new") != "") & (F.coalesce("authority_normalized_old", F.lit("")) != "")
     # Equal texts need no comparison; authorities are compared only where titles pass.
     title = F.when(F.col("title_normalized_new") == F.col("title_normalized_old"), 1.0).otherwise(similarity("title_normalized_new", "title_normalized_old"))
-    passed = pairs.withColumn("t", title).where(t >= p.title_similarity)
+    # A ratio is 2 * matches / (both lengths), and the shorter text bounds the matches: most pairs go before Python sees them.
+    n, m = F.length("title_normalized_new"), F.length("title_normalized_old")
+    possible = (n + m > 0) & (2.0 * F.least(n, m) >= p.title_similarity * (n + m) - 1e-9)
+    passed = pairs.where(possible).withColumn("t", title).where(t >= p.title_similarity)
     auth = F.when(F.col("authority_normalized_new") == F.col("authority_normalized_old"), 1.0).otherwise(
         similarity("authority_normalized_new", "authority_normalized_old")
     )

@@ -244,12 +244,12 @@ def q_dup_exact_key(spark, d):
 
 
 @query(
-    f"""WITH f AS (SELECT doc_id, source, sha256({V.sql_norm('left(text, 200)')} || '|' || {V.sql_norm('lang')} || '|') AS fp FROM documents)
+    f"""WITH f AS (SELECT doc_id, source, sha256({V.sql_norm('text')} || '|' || {V.sql_norm('lang')} || '|') AS fp FROM documents)
  SELECT a.doc_id AS id, min(b.doc_id) AS candidate, 'fingerprint' AS reason, 98 AS confidence FROM f a JOIN f b ON a.fp = b.fp AND a.source <> b.source GROUP BY a.doc_id"""
 )
 def q_dup_fingerprint(spark, d):
     none = F.lit(None).cast("string")
-    fp = text.fingerprint(none, F.substring("text", 1, 200), F.col("lang"), F.lit(None).cast("timestamp"))
+    fp = text.fingerprint(none, F.col("text"), F.col("lang"), F.lit(None).cast("timestamp"))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", fp.alias("fingerprint"), F.lit(0).alias("first_seen"))
     return dedup.exact_matches(docs, docs, "fingerprint", "fingerprint", 98)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +23,42 @@ HEADINGS = {
 }
 
 
+def _file_rows(sheet: str | None, kind: str):
+    """Rows of each file as a map from heading to text, with the file's path and the row's place."""
+
+    def run(batches):
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if kind == "json":
+                    found = json.loads(data)
+                    rows = found if isinstance(found, list) else next(found[k] for k in ("products", "items", "rows", "articles") if k in found)
+                    rows = [[(k, None if v is None else str(v)) for k, v in r.items()] for r in rows]
+                elif kind == "csv":
+                    lines = data.decode("utf-8-sig", "replace")
+                    head, *table = csv.reader(io.StringIO(lines, newline=""), delimiter=delimiter_of(lines[:4096])) if lines.strip() else [[]]
+                    rows = [list(dict(zip(head, (c or None for c in r))).items()) for r in table if any(r)]
+                else:
+                    head, *table = next(rows for name, rows in sheets(data) if sheet in (None, name))
+                    rows = [list(dict(zip(head, (c or None for c in r))).items()) for r in table]
+                kinds = [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string())]
+                cols = [[path] * len(rows), list(range(len(rows))), rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "no", "row"])
+
+    return run
+
+
 def load_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Rows as text columns; the delimiter is guessed from the first 4 KB, which Spark reads."""
-    if path.lower().endswith(".csv"):
-        head = spark.read.text(path).limit(50).agg(F.array_join(F.collect_list("value"), "\n")).first()[0] or ""
-        return spark.read.csv(path, sep=delimiter_of(head[:4096]), header=True, encoding="UTF-8")
-    data = bytes(spark.read.format("binaryFile").load(path).first()["content"])  # a price list is one small file
-    if path.lower().endswith(".json"):
-        found = json.loads(data)
-        rows = found if isinstance(found, list) else next(found[k] for k in ("products", "items", "rows", "articles") if k in found)
-        names = list(dict.fromkeys(k for r in rows for k in r))
-        table = [[None if r.get(k) is None else str(r[k]) for k in names] for r in rows]
-    else:
-        names, *table = next(rows for name, rows in sheets(data) if sheet in (None, name))
-        table = [[c or None for c in r] for r in table]
-    return spark.createDataFrame(table, ", ".join(f"`{n}` string" for n in names))
+    """Rows of all files of ``path`` as text columns, headings in the order in which they first appear.
+
+    A price list is one small file and is parsed whole, by one task; many of them are parsed apart.  CSV may have lines
+    within quotes, and each file a delimiter of its own.  Only the headings come to the driver.
+    """
+    kind = path.lower().rsplit(".", 1)[-1]
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(_file_rows(sheet, kind if kind in ("csv", "json") else "xlsx"), "path string, no long, row map<string,string>")
+    keys = rows.select("path", "no", F.posexplode(F.map_keys("row")).alias("at", "name"))
+    names = [r.name for r in keys.groupBy("name").agg(F.min(F.struct("path", "no", "at")).alias("first")).orderBy("first").collect()]
+    return rows.select(*[F.element_at("row", F.lit(n)).alias(n) for n in names])
 
 
 def resolve(columns: list[str], wanted: dict[str, str] | None = None) -> dict[str, str]:

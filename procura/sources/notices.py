@@ -20,7 +20,7 @@ COLUMNS = {
     "id": "string", "source": "string", "source_id": "string", "source_url": "string", "national_id": "string", "title": "string", "authority": "string",
     "description": "string", "country": "string", "region": "string", "cpv_codes": "array<string>", "notice_type": "string", "procedure_type": "string",
     "publication_date": "date", "deadline": "timestamp", "binding_period_end": "date", "delivery_date": "date", "estimated_value": "double",
-    "currency": "string", "status": "string", "documents": f"array<{DOCUMENT}>", "notes": "array<string>",
+    "currency": "string", "status": "string", "lots": "array<string>", "delivery_location": "string", "documents": f"array<{DOCUMENT}>", "notes": "array<string>",
 }
 
 
@@ -32,19 +32,22 @@ def _schema(df: DataFrame, **cols: Column) -> DataFrame:
 _LIST = (
     "source_id string, id string, national_id string, title string, contracting_authority string, description string, country string, region string, "
     "cpv_codes array<string>, notice_type string, procedure_type string, publication_date string, submission_deadline string, estimated_value double, "
-    f"currency string, status string, source_url string, documents array<{DOCUMENT}>"
+    f"currency string, status string, source_url string, lots array<string>, delivery_location string, documents array<{DOCUMENT}>"
 )
 
 
 def read_list(spark: SparkSession, path: str, name: str = "fixture", query: Query | None = None, limit: int | None = None) -> DataFrame:
-    """A JSON file with ``tenders``, or a bare list; ids fall back to ``id`` and then to the place in the file."""
-    raw = spark.read.text(path, wholetext=True).select(
+    """A JSON file with ``tenders``, or a bare list; ids fall back to ``id`` and then to the place in the
+    file, with the file's name where there are several."""
+    files = spark.read.text(path, wholetext=True)
+    raw = files.select(
+        F.lit("").alias("file") if len(files.inputFiles()) < 2 else F.concat(F.lit("@"), F.substring_index(F.input_file_name(), "/", -1)).alias("file"),
         F.coalesce(
             F.from_json("value", f"struct<tenders:array<struct<{_ddl(_LIST)}>>>")["tenders"], F.from_json("value", f"array<struct<{_ddl(_LIST)}>>")
-        ).alias("t")
+        ).alias("t"),
     )
-    t = raw.select(F.posexplode("t").alias("no", "t")).select("no", "t.*")
-    sid = F.coalesce("source_id", "id", F.col("no").cast("string"))
+    t = raw.select("file", F.posexplode("t").alias("no", "t")).select("file", "no", "t.*")
+    sid = F.coalesce("source_id", "id", F.concat(F.col("no").cast("string"), F.col("file")))
     out = _schema(
         t,
         id=text.tender_id(F.lit(name), sid), source=F.lit(name), source_id=sid, source_url=F.col("source_url"), national_id=F.col("national_id"),
@@ -52,6 +55,7 @@ def read_list(spark: SparkSession, path: str, name: str = "fixture", query: Quer
         cpv_codes=text.clean_codes(F.col("cpv_codes")), notice_type=F.col("notice_type"), procedure_type=F.col("procedure_type"),
         publication_date=dates.parse_date(F.col("publication_date")), deadline=dates.parse_datetime(F.col("submission_deadline")),
         estimated_value=F.col("estimated_value"), currency=F.col("currency"), status=F.coalesce("status", F.lit("UNKNOWN")), documents=F.col("documents"),
+        lots=F.col("lots"), delivery_location=F.col("delivery_location"),
     )
     out = search(out, query) if query else out
     return out.orderBy("id").limit(limit) if limit else out
@@ -61,13 +65,14 @@ def _ddl(fields: str) -> str:
     return ",".join(re.sub(r"^(\w+) ", r"\1:", f.strip()) for f in re.split(r",\s*(?=\w+ )", fields))
 
 
-_TEXTS = "map<string,array<string>>"
-_API = (
-    f"`publication-number`:string,publicationNumber:string,`notice-title`:{_TEXTS},`description-lot`:{_TEXTS},`buyer-name`:{_TEXTS},`buyer-country`:string,"
-    "`notice-type`:string,`procedure-type`:string,`publication-date`:string,`deadline-receipt-request`:string,`deadline-receipt-tender`:string,"
-    "`classification-cpv`:array<string>,`total-value`:struct<amount:double,currency:string>,`estimated-value-lot`:struct<amount:double,currency:string>,"
-    "links:struct<html:map<string,string>,htmlDirect:map<string,string>,pdf:map<string,string>,xml:map<string,string>>"
-)
+#: Values come as texts, lists, or either by language, so that all are read as JSON and taken apart later.
+_API = ",".join(
+    f"`{k}`:string"
+    for k in (
+        "publication-number publicationNumber notice-title description-lot buyer-name buyer-country place-of-performance notice-type procedure-type "
+        "publication-date deadline-receipt-request deadline-receipt-tender classification-cpv total-value estimated-value-lot"
+    ).split()
+) + ",links:struct<html:map<string,string>,htmlDirect:map<string,string>,pdf:map<string,string>,xml:map<string,string>>"
 # Beginnings of notice types, in order, and the status they stand for.
 STATUS = {"cn-": "OPEN", "pin-": "OPEN", "qs-": "OPEN", "subco": "OPEN", "can-": "AWARDED", "corr": "AMENDED", "change": "AMENDED"}
 
@@ -103,37 +108,82 @@ def expert_query(q: Query, fields: dict[str, str], default_after: str) -> str:
 def read_api(spark: SparkSession, path: str, as_of: Column, name: str = "api", base: str = "https://example.invalid/notice/") -> DataFrame:
     """Recorded responses, one JSON object a file: ``notices``, ``results`` or ``data``; none of them is an error.
 
-    Notices without a number are dropped, those of a number after the first too.
+    Values may be texts, lists, or either by language.  Notices without a number are dropped, and of a number all but
+    the first, by file and place.
     """
     one = f"array<struct<{_API}>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<notices:{one},results:{one},data:{one}>").alias("r"))
+    raw = spark.read.text(path, wholetext=True)
+    raw = raw.select(F.input_file_name().alias("file"), F.from_json("value", f"struct<notices:{one},results:{one},data:{one}>").alias("r"))
     found = F.coalesce("r.notices", "r.results", "r.data", F.raise_error(F.lit("a response has no list of notices")).cast(one))
-    n = raw.select(F.explode(found).alias("n")).select("n.*")
-    number = F.coalesce(text.blank_to_null(F.col("`publication-number`")), text.blank_to_null(F.col("publicationNumber")))
-    n = n.withColumn("number", number).where("number IS NOT NULL").dropDuplicates(["number"])
-    deadline = dates.parse_datetime(F.coalesce("`deadline-receipt-request`", "`deadline-receipt-tender`"))
-    value = F.coalesce("`total-value`", "`estimated-value-lot`")
+    n = raw.select("file", F.posexplode(found).alias("no", "n"))
+    said = lambda k: text.first_text(text.texts_of(F.col(f"`{k}`")))
+    number = F.coalesce(text.blank_to_null(F.col("n.`publication-number`")), text.blank_to_null(F.col("n.publicationNumber")))
+    n = n.withColumn("number", number).where("number IS NOT NULL").groupBy("number").agg(F.min_by("n", F.struct("file", "no")).alias("n"))
+    n = n.select("number", "n.*")
+    deadline = dates.parse_datetime(F.coalesce(said("deadline-receipt-request"), said("deadline-receipt-tender")))
+    value = amounts.money(F.coalesce("`total-value`", "`estimated-value-lot`"))
     link = lambda k: F.get(F.filter(F.map_values(f"links.{k}"), lambda u: F.trim(u) != ""), F.lit(0))
     doc = lambda k, m: F.when(link(k).isNotNull(), F.struct(F.lit(f"Notice ({k.upper()})").alias("name"), link(k).alias("url"), F.lit(m).alias("media_type"), F.lit("PUBLIC").alias("access")))
     return _schema(
         n,
         id=text.tender_id(F.lit(name), F.col("number")), source=F.lit(name), source_id=F.col("number"), national_id=F.col("number"),
-        source_url=F.coalesce(link("html"), link("htmlDirect"), F.concat(F.lit(base), F.col("number"))), title=text.first_text(F.col("`notice-title`")),
-        authority=text.first_text(F.col("`buyer-name`")), description=text.strip_html(text.first_text(F.col("`description-lot`"))),
-        country=F.col("`buyer-country`"), cpv_codes=text.clean_codes(F.col("`classification-cpv`")), notice_type=F.col("`notice-type`"),
-        procedure_type=F.col("`procedure-type`"), publication_date=dates.parse_date(F.col("`publication-date`")), deadline=deadline,
-        estimated_value=value["amount"], currency=F.upper(value["currency"]), status=status_of(F.col("`notice-type`"), deadline, as_of),
+        source_url=F.coalesce(link("html"), link("htmlDirect"), F.concat(F.lit(base), F.col("number"))), title=said("notice-title"),
+        authority=said("buyer-name"), description=text.strip_html(said("description-lot")),
+        country=said("buyer-country"), region=said("place-of-performance"), cpv_codes=text.clean_codes(F.array_distinct(text.as_list(F.col("`classification-cpv`")))), notice_type=said("notice-type"),
+        procedure_type=said("procedure-type"), publication_date=dates.parse_date(said("publication-date")), deadline=deadline,
+        estimated_value=value["value"], currency=value["currency"], status=status_of(said("notice-type"), deadline, as_of),
         documents=F.array_compact(F.array(doc("pdf", "application/pdf"), doc("xml", "application/xml"))),
     )
 
 
+def _feed_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """``path, x, error`` of feed files: the text in the declared encoding, or why it is not read."""
+    f = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    head = F.decode(F.substring("content", 1, 200), "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(head, r"^[^<]*<\?xml[^>]*encoding=[\"']([\w-]+)", 1))
+    x = F.when(declared.isin("iso-8859-1", "latin1", "windows-1252"), F.decode("content", "windows-1252")).otherwise(F.decode("content", "UTF-8"))
+    f = f.select("path", "length", F.when(F.col("length") <= max_bytes, x).alias("x"))
+    error = (
+        F.when(F.col("x").isNull(), F.lit("the feed is too large"))
+        .when(F.col("x").rlike("(?i)<!(DOCTYPE|ENTITY)"), F.lit("the feed declares a document type"))
+        .when(~F.col("x").rlike(r"(?i)<(rss|feed|rdf:RDF)\b"), F.lit("the file is no feed"))
+    )
+    return f.select("path", error.alias("error"), F.when(error.isNull(), F.col("x")).alias("x"))
+
+
+def feed_failures(spark: SparkSession, path: str, max_bytes: int = 10_000_000) -> DataFrame:
+    """``path, error`` of the files that ``read_feed`` leaves out."""
+    return _feed_files(spark, path, max_bytes).where("error IS NOT NULL").select("path", "error")
+
+
 def read_feed(spark: SparkSession, path: str, name: str = "feed", country: str | None = None, authority: str | None = None, max_bytes: int = 10_000_000) -> DataFrame:
-    """Items of RSS files; files over ``max_bytes`` and with document type declarations are left out before they are parsed."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes).select(F.decode("content", "UTF-8").alias("x"))
-    files = files.where(~F.col("x").rlike("(?i)<!(DOCTYPE|ENTITY)"))
+    """Items of RSS files and entries of Atom files.
+
+    Files over ``max_bytes``, with document type declarations or that are no feeds are left out before they are parsed;
+    ``feed_failures`` has them.
+    """
+    files = _feed_files(spark, path, max_bytes)
+    none = F.array().cast("array<string>")
+    tags = lambda t: F.regexp_extract_all("x", F.lit(rf"(?s)(<{t}\b.*?</{t}>)"), F.lit(1))
     item = T._parse_datatype_string("title string, link string, guid string, description string, pubDate string")
-    parts = files.select(F.explode(F.regexp_extract_all("x", F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1))).alias("xml"))
-    i = parts.select(F.from_xml("xml", item, {"rowTag": "item"}).alias("i")).select("i.*")
+    entry = T._parse_datatype_string(
+        "title string, link array<struct<_href:string,_rel:string>>, id string, summary string, content string, published string, updated string"
+    )
+    parsed = files.select(
+        F.inline(F.concat(
+            F.transform(F.coalesce(tags("item"), none), lambda x: F.struct(x.alias("xml"), F.lit(False).alias("atom"))),
+            F.transform(F.coalesce(tags("entry"), none), lambda x: F.struct(x.alias("xml"), F.lit(True).alias("atom"))),
+        ))
+    )
+    plain = F.regexp_replace("xml", r"(?s)<(/?)content\b[^>]*>", "<$1content>")
+    parsed = parsed.select(
+        F.when(~F.col("atom"), F.from_xml("xml", item, {"rowTag": "item"})).alias("r"), F.when(F.col("atom"), F.from_xml(plain, entry, {"rowTag": "entry"})).alias("a")
+    )
+    main = F.filter("a.link", lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
+    i = parsed.select(
+        F.coalesce("r.title", "a.title").alias("title"), F.coalesce("r.link", F.get(main, F.lit(0))["_href"]).alias("link"), F.coalesce("r.guid", "a.id").alias("guid"),
+        F.coalesce("r.description", "a.summary", "a.content").alias("description"), F.coalesce("r.pubDate", "a.published", "a.updated").alias("pubDate"),
+    )
     raw_id = F.coalesce("guid", "link")
     sid = F.substring(F.sha2(raw_id, 256), 1, 24)
     title, about = text.strip_html(F.col("title")), text.strip_html(F.col("description"))

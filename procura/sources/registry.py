@@ -47,7 +47,9 @@ def build(spark: SparkSession, sources: list[Source], only: tuple[str, ...] = ()
             log.warning("unknown kind of source: %s", s.kind)
             continue
         try:
-            out.append((s, READERS[s.kind](spark, s.path, name=s.name, **s.options)))
+            rows = READERS[s.kind](spark, s.path, name=s.name, **s.options)
+            rows.isEmpty()  # readers are lazy: a path or file that cannot be read shows here, not in the union of all
+            out.append((s, rows))
         except Exception as e:  # noqa: BLE001  one source does not stop the others
             log.warning("source %s failed: %s", s.name, e)
     return out

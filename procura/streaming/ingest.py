@@ -11,7 +11,8 @@ from procura.operators import upsert
 
 
 def newest_per_id(batch: DataFrame, order: str) -> DataFrame:
-    w = W.partitionBy("id").orderBy(F.col(order).desc_nulls_last())
+    """The newest row an id; of equally new ones that of the smallest hash over all columns, the same in each run."""
+    w = W.partitionBy("id").orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*[F.to_json(F.struct(c)) for c in batch.columns]))
     return batch.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
