@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from procura.functions import amounts, constants, dates, text
-from procura.operators import dedup, documents, items, pricing, requirements, risk, runs, search, upsert
+from procura.operators import dedup, documents, ingest, items, pricing, requirements, risk, runs, search, upsert
 from procura.plans import views as V
 from procura.plans.views import as_of, read
 
@@ -236,6 +236,27 @@ def q_unit_normalize(spark, d):
     return V.item(spark, d).select("tender_id", "ord", "unit_original", text.normalize_unit(F.col("unit_original")).alias("unit"))
 
 
+# --- ingest ---------------------------------------------------------------------------------------------------------
+@query(
+    f"""{WITH}, k AS (SELECT id, source, source_id, priority, title || '|' || authority AS k FROM notice),
+ b AS (SELECT * FROM k WHERE source = 'src1'), s AS (SELECT * FROM k WHERE source <> 'src1'),
+ f AS (SELECT b.id, b.source_id, min(s.id) AS old FROM b JOIN s USING (k) GROUP BY b.id, b.source_id),
+ l AS (SELECT f.*, s.source AS old_source, s.source_id AS old_source_id, CASE WHEN 20 < s.priority THEN min(f.id) OVER (PARTITION BY f.old) ELSE f.old END AS prim
+   FROM f JOIN s ON s.id = f.old)
+ SELECT prim AS tender_id, CASE WHEN id = prim THEN old_source ELSE 'src1' END AS source, CASE WHEN id = prim THEN old_source_id ELSE source_id END AS source_id,
+  'fingerprint' AS reason, 98 AS confidence FROM l"""
+)
+def q_alias_edges(spark, d):
+    rows = V.notice(spark, d).select(
+        "id", "source", "source_id", "priority", F.concat_ws("|", "title", "authority").alias("k"), F.lit(0).alias("first_seen"),
+        F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("long").alias("primary_id"),
+    )
+    batch, store = rows.where("source = 'src1'"), rows.where("source <> 'src1'")
+    found = dedup.exact_matches(batch, store, "k", "fingerprint", 98)
+    links = ingest.linked(found, store, 20, rows.select("source", "priority").distinct())
+    return ingest.alias_edges(links, batch, store).drop("source_url")
+
+
 # --- duplicates -------------------------------------------------------------------------------------------------------
 @query("SELECT a.doc_id AS id, min(b.doc_id) AS candidate FROM documents a JOIN documents b ON a.text = b.text AND a.source <> b.source GROUP BY a.doc_id")
 def q_dup_exact_key(spark, d):

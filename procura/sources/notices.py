@@ -141,7 +141,7 @@ def _feed_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     f = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     head = F.decode(F.substring("content", 1, 200), "ISO-8859-1")
     declared = F.lower(F.regexp_extract(head, r"^[^<]*<\?xml[^>]*encoding=[\"']([\w-]+)", 1))
-    x = F.when(declared.isin("iso-8859-1", "latin1", "windows-1252"), F.decode("content", "windows-1252")).otherwise(F.decode("content", "UTF-8"))
+    x = F.when(declared.isin("iso-8859-1", "latin1", "windows-1252"), F.decode("content", "ISO-8859-1")).otherwise(F.decode("content", "UTF-8"))
     f = f.select("path", "length", F.when(F.col("length") <= max_bytes, x).alias("x"))
     error = (
         F.when(F.col("x").isNull(), F.lit("the feed is too large"))

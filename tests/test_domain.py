@@ -292,6 +292,38 @@ def test_notice_sources(spark, tmp_path):
     assert [s.name for s, _ in built] == ["a", "b"]
 
 
+def test_values_of_any_shape(spark, tmp_path):
+    shapes = ["Tisch", ["Tisch", "Stuhl"], {"deu": "Tisch"}, {"eng": ["Desk"], "deu": ["Tisch"]}, {"xx": [" ", "Tisch"]}]
+    money = [{"amount": 5.5, "currency": "eur"}, 5.5, "5,50 EUR", [{"value": "5.5", "currency": "EUR"}], "5.5"]
+    rows = [{"publication-number": str(i), "notice-title": x, "buyer-name": x, "total-value": m, "classification-cpv": "30231300" if i else ["30231300"]} for i, (x, m) in enumerate(zip(shapes, money))]
+    (tmp_path / "a.json").write_text(json.dumps({"notices": rows}))
+    (tmp_path / "b.json").write_text(json.dumps({"data": [rows[0] | {"notice-title": "later"}]}))
+    got = notices.read_api(spark, str(tmp_path / "*.json"), F.lit(datetime(2026, 12, 1))).collect()
+    assert len(got) == 5 and all((r.title, r.authority, r.estimated_value, r.cpv_codes) == ("Tisch", "Tisch", 5.5, ["30231300"]) for r in got)
+    assert {r.currency for r in got} == {"EUR", None}
+
+
+def test_feeds_and_lists_of_several_files(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><title>T</title><entry><title>Bau</title><link rel="self" href="http://s"/><link href="http://x/1"/><id>e1</id><summary>kurz</summary><updated>2026-08-24T10:00:00Z</updated></entry></feed>')
+    (tmp_path / "l.xml").write_bytes('<?xml version="1.0" encoding="ISO-8859-1"?><rss><channel><item><title>Möbel</title><link>http://x/2</link></item></channel></rss>'.encode("latin-1"))
+    (tmp_path / "evil.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]><rss><item><title>t</title></item></rss>')
+    (tmp_path / "no.xml").write_text("<html></html>")
+    got = {r.title: (r.source_url, r.description, r.publication_date) for r in notices.read_feed(spark, str(tmp_path / "*.xml")).collect()}
+    assert got == {"Bau": ("http://x/1", "kurz", date(2026, 8, 24)), "Möbel": ("http://x/2", None, None)}
+    failed = {r.path[-6:]: r.error for r in notices.feed_failures(spark, str(tmp_path / "*.xml")).collect()}
+    assert failed == {"il.xml": "the feed declares a document type", "no.xml": "the file is no feed"}
+    for i in (1, 2):
+        (tmp_path / f"n{i}.json").write_text(json.dumps([{"title": f"t{i}", "lots": ["a"], "delivery_location": "here"}]))
+        (tmp_path / f"p{i}.json").write_text(json.dumps([{"Bezeichnung": f"x{i}", "Preis": i}]))
+        (tmp_path / f"p{i}.csv").write_text(f'Bezeichnung{",;"[i - 1]}Preis\n"x\n{i}"{",;"[i - 1]}{i}\n')
+    rows = notices.read_list(spark, str(tmp_path / "n*.json")).collect()
+    assert {r.id: (r.title, r.lots, r.delivery_location) for r in rows} == {"fixture:0@n1.json": ("t1", ["a"], "here"), "fixture:0@n2.json": ("t2", ["a"], "here")}
+    assert sorted(map(tuple, catalog.load_rows(spark, str(tmp_path / "p*.json")).collect())) == [("x1", "1"), ("x2", "2")]
+    assert sorted(map(tuple, catalog.load_rows(spark, str(tmp_path / "p*.csv")).collect())) == [("x\n1", "1"), ("x\n2", "2")]
+    built = registry.build(spark, [registry.Source("gone", "list", str(tmp_path / "gone.json"), 1), registry.Source("bad", "api", str(tmp_path / "n1.json"), 2, options={"as_of": F.lit(datetime(2026, 1, 1))}), registry.Source("ok", "list", str(tmp_path / "n1.json"), 3)])
+    assert [s.name for s, _ in built] == ["ok"]
+
+
 def test_status_and_expert_query(spark):
     rows = [("cn-standard", 5), ("cn-standard", -5), ("can-x", -5), ("corr", None), ("other", 5), ("other", -5), (None, None)]
     df = spark.createDataFrame([(i, k, None if d is None else datetime(2026, 1, 10 + d)) for i, (k, d) in enumerate(rows)], "i int, k string, d timestamp")

@@ -29,7 +29,7 @@ def test_query(spark, sf_dir, con, name):
     got = sorted((tuple(map(plain, r)) for r in df.select(*cols).collect()), key=str)
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert len(got) >= 0
+        assert got and len(cols) > 1  # their rows are held against brute force in test_domain.py
         return
     rel = con.sql(f"SELECT {', '.join(cols)} FROM ({sql})")
     assert got == sorted((tuple(map(plain, r)) for r in rel.fetchall()), key=str)
