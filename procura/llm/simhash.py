@@ -179,7 +179,7 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE_SEGMENTS, WIDE = 12, 21  # of 256 bits
 SEEDS = 4
-FAR_BITS = 56  # of 256: pairs of a bucket beyond that are left to the prefix filter
+FAR_BITS = 64  # of 256: pairs of a bucket beyond that are left to the prefix filter
 IN_BLOCK = 384  # members of a shingle that a task compares at once
 #: Shingles that this many of a sixteenth of the texts have come last in the order of prefixes, at most ``HOT`` of them.  Any
 #: order finds every pair; this one keeps common shingles out of prefixes.
@@ -265,14 +265,16 @@ def _similar(batches):
 
 
 def bucket_pairs(wide: DataFrame) -> DataFrame:
-    """Of ``(key, wide)``: pairs ``(a, b)`` of each member of a bucket and the smallest there, within ``FAR_BITS``.
+    """Of ``(key, wide)``: pairs ``(a, b)`` of each member of a bucket with the smallest and the largest there, within ``FAR_BITS``.
 
-    One rule for buckets of any size; pairs grow with the members, and copies of one text have most buckets, and so the
-    smallest member, in common.
+    One rule for buckets of any size; pairs grow with the members, and copies of one text have most buckets, and so these
+    two members, in common.
     """
     keys = wide.mapInArrow(_wide_keys, "bucket long, key long")
-    least = keys.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("bucket", "a")
-    pairs = keys.withColumnRenamed("key", "b").join(least, "bucket").where("a < b").select("a", "b").distinct()
+    least = keys.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z")
+    met = keys.join(least, "bucket")
+    ends = F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("key").alias("b")), F.struct(F.col("key").alias("a"), F.col("z").alias("b"))))
+    pairs = met.select(ends).where("a < b").distinct()
     x = pairs.join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
     word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long")
     apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(2 * SEEDS)), F.lit(0))
