@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import connected_components, cut, pieces, table, text_key, utf8
+from procura.llm.common import connected_components, cut, merged, pieces, table, text_key, utf8
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -132,7 +132,7 @@ def links(fps: DataFrame) -> DataFrame:
     """
     keys = cut(fps.select("fp").mapInArrow(_keys, "key long, fp long"), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keys.join(sizes, "key")
+    shared = merged(keys, sizes, "key")
     pairs = (
         shared.where(F.col("n") <= PAIRED)
         .groupBy("key")
@@ -151,9 +151,9 @@ def components(prints: DataFrame) -> DataFrame:
     """``(fp, component_id)`` for the distinct fingerprints of ``(doc_id, fp)``: the smallest doc_id reachable."""
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = connected_components(links(fps)).withColumnRenamed("node", "fp")
-    rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = merged(fps, roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return merged(rooted, smallest, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id unless all its ids are null; repeated rows repeat.  An empty table gives an empty one.
     """
     prints = cut(fingerprints(docs), "prints")
-    found = prints.join(components(prints), "fp")
+    found = merged(prints, components(prints), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -272,10 +272,10 @@ def bucket_pairs(wide: DataFrame) -> DataFrame:
     """
     keys = wide.mapInArrow(_wide_keys, "bucket long, key long")
     least = keys.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z")
-    met = keys.join(least, "bucket")
+    met = merged(keys, least, "bucket")
     ends = F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("key").alias("b")), F.struct(F.col("key").alias("a"), F.col("z").alias("b"))))
     pairs = met.select(ends).where("a < b").distinct()
-    x = pairs.join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
+    x = merged(merged(pairs, wide.toDF("a", "wa"), "a"), wide.toDF("b", "wb"), "b")
     word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long")
     apart = sum((F.bit_count(word("wa", i).bitwiseXOR(word("wb", i))) for i in range(2 * SEEDS)), F.lit(0))
     return x.where(apart <= FAR_BITS).select("a", "b")
@@ -422,7 +422,7 @@ def pairs_of_prefixes(texts: DataFrame, rooted: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast((h.view(np.uint64)[order], n[order]))
     p = texts.select("doc_id", "th", "text").mapInArrow(_prefixes(held), "doc_id long, th binary, n long, h array<long>").alias("p")
     on = (F.col("p.th") == F.col("r.th")) & F.col("p.doc_id").eqNullSafe(F.col("r.id"))
-    rows = p.join(rooted.alias("r"), on).select("r.key", "root", "n", F.posexplode("h").alias("place", "h"))
+    rows = merged(p, rooted.alias("r"), on).select("r.key", "root", "n", F.posexplode("h").alias("place", "h"))
     rows = rows.select("h", "key", "root", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
     rows = rows.repartition("h").sortWithinPartitions("h")
     met = rows.mapInArrow(_meetings, "own int, key array<long>, root array<long>, at array<long>")
@@ -447,30 +447,30 @@ def groups(docs: DataFrame) -> DataFrame:
 
     def verified(some: DataFrame) -> DataFrame:
         needed = some.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        n = needed.join(classes.select("key", "th", "id"), "key").alias("n")
+        n = merged(needed, classes.select("key", "th", "id"), "key").alias("n")
         on = (F.col("t.th") == F.col("n.th")) & F.col("t.doc_id").eqNullSafe(F.col("n.id"))
-        sets = t.join(n, on).select("n.key", "text").mapInArrow(_shingled, "key long, h array<long>")
+        sets = merged(t, n, on).select("n.key", "text").mapInArrow(_shingled, "key long, h array<long>")
         sets = cut(sets.dropDuplicates(["key"]), "shingles")
-        x = some.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+        x = merged(merged(some, sets.toDF("a", "ha"), "a"), sets.toDF("b", "hb"), "b")
         return x.select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
 
     # Fingerprints two bits apart join their classes by the class of the smallest key.
     narrow = classes.groupBy("fp").agg(F.min("key").alias("first"))
-    same = classes.join(narrow, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    same = merged(classes, narrow, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
     close = links(narrow.select("fp")).alias("l")
     f, g = narrow.alias("f"), narrow.alias("g")
-    close = close.join(f, F.col("l.a") == F.col("f.fp")).join(g, F.col("l.b") == F.col("g.fp")).select(F.col("f.first").alias("a"), F.col("g.first").alias("b"))
+    close = merged(merged(close, f, F.col("l.a") == F.col("f.fp")), g, F.col("l.b") == F.col("g.fp")).select(F.col("f.first").alias("a"), F.col("g.first").alias("b"))
     roots = connected_components(verified(pairs).union(same).union(close)).withColumnRenamed("node", "key")
-    rooted = classes.select("key", "th", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = merged(classes.select("key", "th", "id"), roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = cut(rooted, "first-roots")
     # What Golay keys left apart, between roots.
     rest = cut(pairs_of_prefixes(t, rooted), "prefix-pairs")
     r = rooted.select("key", "root")
-    found = verified(rest).join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    found = merged(merged(verified(rest), r.toDF("a", "ra"), "a"), r.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     last = connected_components(found).toDF("root", "last")
-    rooted = rooted.join(last, "root", "left").select("th", "id", F.coalesce("last", "root").alias("root"))
+    rooted = merged(rooted, last, "root", "left").select("th", "id", F.coalesce("last", "root").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("id").alias("group"))
-    return prints.select("doc_id", "th").join(rooted.join(lowest, "root").select("th", "group"), "th")
+    return merged(prints.select("doc_id", "th"), merged(rooted, lowest, "root").select("th", "group"), "th")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -479,5 +479,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Null ids are marked apart, so that the join and the removal of repeated rows share one exchange of the texts.
     row = {"id0": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
     d = docs.select("doc_id", "text", "lang", "source", "n_chars", text_key(F.col("text")).alias("th")).withColumns(row)
-    kept = d.join(stay.withColumns(row).select(*row, "th").distinct(), [*row, "th"], "left_semi")
+    kept = merged(d, stay.withColumns(row).select(*row, "th").distinct(), [*row, "th"], "left_semi")
     return kept.dropDuplicates([*row, "th"]).select("doc_id", "text", "lang", "source", "n_chars")

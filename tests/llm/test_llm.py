@@ -182,6 +182,15 @@ def test_near_copies_are_found_and_verified(spark, monkeypatch, block):
     assert all(root[d] == root[g] for d, g in group.items())  # nothing else is joined
 
 
+def test_tables_that_grow_with_the_corpus_are_never_broadcast(spark, tmp_path):
+    """Small enough here for any session to broadcast them; at 0.6 GB of documents such a table filled the driver's heap."""
+    from pyspark.sql import functions as F
+
+    spark.range(200).select(F.col("id").alias("key"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("wide")).write.parquet(f"{tmp_path}/w")
+    pairs = simhash.bucket_pairs(spark.read.parquet(f"{tmp_path}/w"))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("far", [-1, 64, 256])
 def test_groups_do_not_hang_on_golay_keys(spark, monkeypatch, far):
     """Copies around the threshold: whatever pairs the buckets give, groups are those of all similar pairs."""
