@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,21 +35,24 @@ PLACEHOLDER = "(?i)" + "|".join(
 )
 
 
+#: The characters that values are made of; others are counted one by one too.
+ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
+#: Entropy is judged on this many characters of a value: all of them.
+LOOKED_AT = None
+
+
 def entropy(value: Column) -> Column:
-    """Shannon's entropy in bits a character; one pass over the value for each distinct character."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+    """Shannon's entropy of a whole value in bits a character; a search for each character, no array of them all."""
+    others = F.filter(F.split(F.translate(value, ALPHABET, ""), ""), lambda c: c != "")
+    chars = F.concat(F.array(*[F.lit(c) for c in ALPHABET]), F.array_distinct(others))
+    n = F.length(value)
+    counts = F.filter(F.transform(chars, lambda c: n - F.length(F.replace(value, c, F.lit("")))), lambda x: x > 0)
+    return F.aggregate(counts, F.lit(0.0), lambda a, x: a - x / n * F.log2(x / n))
 
 
 def looks_live(value: Column, kind: Column) -> Column:
     """A key's header says nothing of the key and always counts; other values by placeholder words and entropy."""
-    return F.when(kind == "pem", F.lit(True)).otherwise(~value.rlike(PLACEHOLDER) & (entropy(F.substring(value, 1, LOOKED_AT)) >= MIN_ENTROPY))
-
-
-#: Characters of a value whose entropy is judged: that of more does not change what is random.
-LOOKED_AT = 256
+    return F.when(kind == "pem", F.lit(True)).otherwise(~value.rlike(PLACEHOLDER) & (entropy(value) >= MIN_ENTROPY))
 
 
 def _found(kind: str) -> Column:

@@ -462,6 +462,17 @@ def test_ownership_separates_copied_values(spark):
     assert got[10].spans.startswith("jwt:4:") and got[10].n_assign == 0 and got[0].owners == "3/3,3/3" and got[20].owners == "3/1"
 
 
+def test_looks_of_a_value_are_those_of_all_of_it(spark):
+    """Values that are dull or random only beyond their first 256 characters."""
+    r = random.Random(12)
+    noise = "".join(r.choice("bcdfghjkmnpqrvwz0345679") for _ in range(2000))
+    flat, few = "z" * 256, noise[:256]
+    rows = [(1, f"token={flat}{noise}", "r", "s"), (2, f"token={few}{'z' * 6000}", "r", "s"), (3, f"token={few}", "r", "s"), (4, f"token={flat}", "r", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: (x.n_live, x.n_weak) for x in secrets.scan(df, df["lang"], df["source"]).collect()}
+    assert got == {1: (1, 0), 2: (0, 1), 3: (1, 0), 4: (0, 1)}
+
+
 def test_ownership_on_documents(spark):
     """Counts and verdicts of base spans against brute force."""
     from pyspark.sql import functions as F
