@@ -320,19 +320,19 @@ def _finder(held):
 
 
 _LEAKS = pa.schema(
-    [("doc_id", pa.int64()), ("th", pa.binary()), ("item_id", pa.int64()), ("kind", pa.string())]
+    [("row", pa.int64()), ("same", pa.int64()), ("doc_id", pa.int64()), ("th", pa.binary()), ("item_id", pa.int64()), ("kind", pa.string())]
     + [(n, pa.int64()) for n in ("n_items", "n_tokens")]
     + [("covered", pa.float64())]
     + [(n, pa.int64()) for n in ("run", "start", "stop")]
 )
-SCHEMA = "doc_id long, th binary, item_id long, kind string, n_items long, n_tokens long, covered double, run long, start long, stop long"
+SCHEMA = "row long, same long, doc_id long, th binary, item_id long, kind string, n_items long, n_tokens long, covered double, run long, start long, stop long"
 
 
 def _verify(batches):
     lex, memo = Lexicon(), {}
     for b in pieces(batches, 32):
         out = []
-        for doc_id, th, text, items in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for row, doc_id, th, text, items in zip(*(b.column(i).to_pylist() for i in range(5))):
             doc = streams(text, lex)
             for it in items:
                 if len(memo) > 2_000:
@@ -343,7 +343,7 @@ def _verify(batches):
                 hits = {(x["ds"], x["at"], x["bs"], x["place"]) for x in it["hits"]}
                 if found := verified(doc, item, hits):
                     kind, words, *rest = found
-                    out.append((doc_id, th, it["item_id"], kind, it["n_items"], words, *rest))
+                    out.append((row, it["same"], doc_id, th, it["item_id"], kind, it["n_items"], words, *rest))
         yield _table(out, _LEAKS)
 
 
@@ -364,39 +364,59 @@ def members(benchmark: DataFrame) -> DataFrame:
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    items = cut(items_of(benchmark), "items")
-    w = cut(items.mapInArrow(_item_windows, "item_id long, th binary, size int, h long, bs int, place int"), "item-windows")
-    first = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "th", "bs", "place")).alias("i")
-    one = w.groupBy("h").agg(first, F.count_distinct("item_id", "th").alias("n_items"))
-    one = cut(one.select("h", "i.item_id", "i.th", "i.bs", "i.place", "n_items"), "windows")
-    n = one.count()
+    # Equal items are one, under the smallest id.
+    id_of = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id")).alias("i")
+    items = items_of(benchmark).groupBy("th").agg(id_of, F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    items = cut(items.select("i.item_id", "th", "copies", "text"), "items")
+    w = items.select("item_id", "th", "text").mapInArrow(_item_windows, "item_id long, th binary, size int, h long, bs int, place int")
+    w = cut(w, "item-windows")
+    counts = w.select("h", "th").distinct().join(items.select("th", "copies"), "th").groupBy("h").agg(F.sum("copies").alias("n_items"))
+    counts = cut(counts, "window-counts")
+    n = counts.count()
     sizes = [r[0] for r in w.select("size").distinct().collect()]  # eight at most
     bits = max(10, min(MOST_BLOCKS.bit_length() - 1, n.bit_length() + 1))
     words = np.zeros(1 << bits, np.uint64)
     if n:
-        of = one.select("h").mapInArrow(_blocks(bits), "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
+        of = counts.select("h").mapInArrow(_blocks(bits), "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
         words[of.column(0).to_numpy()] = of.column(1).to_numpy().view(np.uint64)
     held = spark.sparkContext.broadcast((bits, words, sorted(sizes)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     found = rows.mapInArrow(_finder(held), "doc_id long, text binary, h array<long>, ds array<int>, at array<int>")
     found = cut(found.withColumn("row", F.monotonically_increasing_id()), "found")  # numbered once, as written
-    hits = found.select("row", F.inline(F.arrays_zip("h", "ds", "at"))).join(one, "h")
+    hits = found.select("row", F.inline(F.arrays_zip("h", "ds", "at"))).join(w.join(counts, "h"), "h")
     by_item = hits.groupBy("row", "item_id", "th").agg(
-        F.collect_list(F.struct("ds", "at", "bs", "place")).alias("hits"), F.min("n_items").alias("n_items")
+        F.array_sort(F.collect_list(F.struct("ds", "at", "bs", "place"))).alias("hits"), F.min("n_items").alias("n_items")
     )
-    h, i = by_item.alias("h"), items.alias("i")
-    on = F.col("h.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("h.th") == F.col("i.th"))
-    by_row = h.join(i, on).groupBy("row").agg(F.collect_list(F.struct("h.item_id", "i.text", "n_items", "hits")).alias("items"))
-    return found.join(by_row, "row").select("doc_id", text_key(F.col("text")).alias("th"), "text", "items").mapInArrow(_verify, SCHEMA)
+    # Items that have the same windows of a text in the same order, wherever in the item they begin.
+    low = F.array_min(F.transform("hits", lambda x: x["place"]))
+    pattern = F.transform("hits", lambda x: F.struct(x["ds"], x["at"], x["bs"], x["place"] - low))
+    by_item = cut(by_item.withColumn("same", F.xxhash64(pattern)), "item-hits")
+    least = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "th")).alias("i")
+    first = cut(by_item.groupBy("row", "same").agg(least, F.count(F.lit(1)).alias("c")).select("row", "same", "i.th", "c"), "first-items")
+
+    def judged(some: DataFrame) -> DataFrame:
+        whole = some.join(items.select("th", F.col("text").alias("of")), "th")
+        it = F.struct("item_id", F.col("of").alias("text"), "n_items", "same", "hits")
+        by_row = whole.groupBy("row").agg(F.collect_list(it).alias("items"))
+        return found.join(by_row, "row").select("row", "doc_id", text_key(F.col("text")).alias("th"), "text", "items").mapInArrow(_verify, SCHEMA)
+
+    one = cut(judged(by_item.join(first.select("row", "same", "th"), ["row", "same", "th"], "left_semi")), "first-leaks")
+    # A run of RUN equal words makes a leak of each item that has it, and one row says so.  What else the items of a
+    # pattern are, their lengths and values decide: each of them is judged.
+    settled = one.where((F.col("kind") == "verbatim") & (F.col("run") >= RUN)).select("row", "same")
+    open_ = first.where("c > 1").join(settled, ["row", "same"], "left_anti").select("row", "same", F.col("th").alias("judged"))
+    rest = by_item.join(open_, ["row", "same"]).where("th <> judged").drop("judged")
+    return one.union(judged(rest)).drop("row", "same")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item it leaks.
 
     Words become templates: numbers, units after numbers and names are typed slots, several words in a row one slot.
-    Windows of eight words and of eight template tokens are hash-joined with the benchmark's, of which a window has one:
-    that of the smallest item holding it, so that a preamble of many items is one row (``n_items`` of them have the
-    rarest window of the match) and each other item is found by what it has of its own; ``members`` expands them.
+    Windows of eight words and of eight template tokens are hash-joined with those of all items.  Items that have the same
+    windows of a text in the same order, and a run of 13 equal words by them, are one row under the smallest id, so that a
+    preamble of many items is one (``n_items`` of them have the rarest window of the match); ``members`` expands them.
+    Every other item is judged by itself, also if all its windows are another's.
     Matches grow along their diagonals, token by token; see ``verified`` for slots.  An item leaks if a run has 13
     words or the whole item, or if runs cover 60 % of it.  Items of under eight words leak whole and word for word.
 

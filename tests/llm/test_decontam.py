@@ -72,6 +72,16 @@ def test_shared_preambles_give_one_row(spark):
     assert {r.item_id for r in decontam.members(bench).collect()} == set(range(300))
 
 
+def test_items_without_a_window_of_their_own(spark):
+    """A short item inside a longer one, and an item made of parts of two others, all of smaller ids."""
+    say = lambda x, n: [f"{x}{i}q" for i in range(n)]
+    a, b = say("a", 60), say("b", 60)
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[20:30])), (4, " ".join(a[40:52] + say("c", 2) + b[5:17])), (5, " ".join(say("x", 3) + a[20:30]))]
+    rows = [(1, " ".join(say("k", 20) + a[20:30] + say("m", 20))), (2, " ".join(a)), (3, " ".join(say("k", 9) + a[40:52] + say("z", 5) + b[5:17]))]
+    got = kinds(leaks_of(spark, rows, items))
+    assert got == {(1, 3): "verbatim", (1, 5): "verbatim", (2, 1): "verbatim", (2, 3): "verbatim", (2, 5): "verbatim", (3, 4): "verbatim"}
+
+
 def problems(r, n):
     """Items with numbers and names, and functions that write them with other values."""
     out = []
