@@ -149,3 +149,12 @@ def test_stage_keeps_the_clean_rows(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, item_id string")
     got = sorted(map(str, (tuple(r)[:2] for r in decontam.stage(spark, docs, sf_dir).collect())))
     assert got == sorted(map(str, [(2, "clean"), (2, "clean"), (None, None), (1, "other text")]))
+
+
+def test_stage_drops_texts_of_items_without_a_window_of_their_own(spark, tmp_path):
+    long = [f"a{i}q" for i in range(60)]
+    items = [(1, " ".join(long)), (2, " ".join(long[20:30]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "before " + items[1][1] + " after", "en", "a", 5), (2, "clean", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in decontam.stage(spark, docs, str(tmp_path)).collect()] == [2]
