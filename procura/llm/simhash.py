@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm.common import connected_components, cut, merged, pieces, table, text_key, utf8
+from procura.llm.common import connected_components, cut, merged, pieces, spent, table, text_key, utf8
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -144,7 +144,9 @@ def links(fps: DataFrame) -> DataFrame:
     crowded = shared.where(F.col("n") > PAIRED).select("fp").distinct().mapInArrow(_flips, "key long, fp long")
     stars = crowded.groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
     stars = stars.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).where("a < b")
-    return pairs.union(stars).distinct()
+    found = cut(pairs.union(stars).distinct(), "links")
+    spent(keys)
+    return found
 
 
 def components(prints: DataFrame) -> DataFrame:
@@ -452,7 +454,9 @@ def groups(docs: DataFrame) -> DataFrame:
         sets = merged(t, n, on).select("n.key", "text").mapInArrow(_shingled, "key long, h array<long>")
         sets = cut(sets.dropDuplicates(["key"]), "shingles")
         x = merged(merged(some, sets.toDF("a", "ha"), "a"), sets.toDF("b", "hb"), "b")
-        return x.select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long")
+        found = cut(x.select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long"), "similar")
+        spent(sets)
+        return found
 
     # Fingerprints two bits apart join their classes by the class of the smallest key.
     narrow = classes.groupBy("fp").agg(F.min("key").alias("first"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from procura import llm
-from procura.llm import classifier, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substring
+from procura.llm import classifier, common, licenses, line_dedup, mixing, quality_rules, secrets, simhash, substring
 from procura.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, `key` string, text2 string"
@@ -191,6 +191,14 @@ def test_tables_that_grow_with_the_corpus_are_never_broadcast(spark, tmp_path):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_that_nothing_reads_any_more_leave_the_disk(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert simhash.groups(docs).count() == docs.count()
+    left = [p.name for p in tmp_path.glob("*/*")]
+    assert left and not [x for x in left if x.startswith(("shingles", "golay-keys"))]
+    assert sum(x.startswith("edges") for x in left) <= 2
+
+
 @pytest.mark.parametrize("far", [-1, 64, 256])
 def test_groups_do_not_hang_on_golay_keys(spark, monkeypatch, far):
     """Copies around the threshold: whatever pairs the buckets give, groups are those of all similar pairs."""
